@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ananym.config import SPECIAL_TOKENS, WORD_MARK
 
@@ -77,7 +78,7 @@ def may_change_under_nfkc(text: Column) -> Column:
     return text.rlike(f"(?=[^\\x00-\\x9F])(?!{stable}){unstable}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
