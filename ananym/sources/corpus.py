@@ -29,7 +29,7 @@ def read_corpus(
     line; its key comes from :func:`keyed_text`.
     """
     if fmt == "text":
-        corpus = keyed_text(spark.read.options(**options).text(path))
+        corpus = keyed_text(spark.read.format("text").options(**options).load(path))
     else:
         reader = spark.read.format(fmt).options(**options)
         corpus = (reader.schema(schema) if schema is not None else reader).load(path)

@@ -111,9 +111,9 @@ def test_spark_rounds_with_small_limits(spark, monkeypatch, limits):
     monkeypatch.setattr(vocabulary, "MERGES_BY_BATCH", 2)
     pick = random.Random(5)
     words = Counter("".join(pick.choice("abcde") for _ in range(pick.randint(1, 9))) for _ in range(300))
-    trained = train_vocabulary(spark_words(spark, words), VocabConfig(30, 2, 500))
+    trained = train_vocabulary(spark_words(spark, words), VocabConfig(18, 2, 500))
     symbols = {"".join(symbol("abcde".index(c) + 1) for c in w): n for w, n in words.items()}
-    want = one_by_one(symbols, list("abcde"), 30, 2)
+    want = one_by_one(symbols, list("abcde"), 18, 2)
     merges = [(r["left"], r["right"]) for r in trained.merges.orderBy("rank").collect()]
     assert merges == [(want.spellings[a], want.spellings[b]) for a, b in want.merges]
 
