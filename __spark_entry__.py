@@ -52,7 +52,7 @@ from ananym.operators.words import (
     word_counts,
 )
 from ananym.plans import prepare_corpus, tokenise_corpus, train_tokenizer, training_batches
-from ananym.session import scratch_path, spread
+from ananym.session import scratch_path, spread, stored
 from ananym.sources.corpus import (
     bundle_splits,
     keep_copy,
@@ -243,7 +243,7 @@ def pretokenised(spark, sf):
 
 
 def alphabet_restricted(spark, sf):
-    counted = words_of(spark, sf)
+    counted = stored(words_of(spark, sf), "words")
     kept = restrict_to_alphabet(counted, top_alphabet(character_counts(counted), 40))
     return kept.groupBy("word").agg(F.sum("n").cast("bigint").alias("n"))
 
@@ -364,7 +364,8 @@ def padded_batches(spark, sf):
 
 def token_batches(spark, sf):
     """The whole way: documents to padded batches of real token ids."""
-    batches = training_batches(token_table(spark, sf, TRUNCATE), vocabulary(spark, sf), BATCH)
+    tokens = stored(token_table(spark, sf, TRUNCATE), "tokens")
+    batches = training_batches(tokens, vocabulary(spark, sf), BATCH)
     return batches.select(
         "batch_id", "position", "doc_id", F.size("input_ids").alias("width"), joined("input_ids").alias("input_ids")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ananym.config import REVERSED, SPECIAL_TOKENS, UNK, WORD_MARK
 from ananym.functions.text import nfkc, special_segments, words
+from ananym.operators.order import nth_in_order, up_to
 from ananym.operators.rows import require_orientation, reverse_rows
 from ananym.operators.vocabulary import MAX_VOCAB, Vocabulary
 from ananym.session import stored
@@ -112,7 +113,10 @@ def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFra
     placed = _placed_words(df, keep, first_words, match_special)
     counted = placed.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
     known = stored(word_tokens(counted, vocabulary), "word-tokens")
-    head = known.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
+    short = known.where(F.length("word") <= HEAD_CHARS)
+    rarity = [(-F.col("n")).alias("rarity"), F.col("word")]
+    last = nth_in_order(short, rarity[0], rarity, HEAD_WORDS)
+    head = short if last is None else short.where(up_to(rarity, last))
     head = stored(head.select("word", "ids"), "frequent-words")
     joined = placed.join(F.broadcast(head), "word", "left")
     settled = joined.where(F.col("ids").isNotNull() | F.col("word").isNull())
@@ -155,6 +159,8 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
         for batch in batches:
             yield batch.map(lambda t: ids_of(unicodedata.normalize("NFKC", t)) if t else [])
 
+    # Keeps the optimiser from copying the call into every later use of the ids.
+    encode = encode.asNondeterministic()
     if not match_special:
         return df.select(*keep, encode("text").alias("input_ids"))
     parts = df.select(*keep, F.posexplode_outer(special_segments(F.col("text"))).alias("part", "segment"))
@@ -195,7 +201,8 @@ def reverse_and_encode(df: DataFrame, vocabulary: Vocabulary, **options) -> Data
 
 def may_fill_context(text: Column, context_length: int) -> Column:
     """False for texts too short to give ``context_length`` tokens: each token covers a character or the first mark."""
-    return F.length(nfkc(text)) + 1 >= context_length
+    short = F.when(F.length(text) + 1 < context_length, text)
+    return short.isNull() | (F.length(nfkc(short)) + 1 >= context_length)
 
 
 def spellings(vocabulary: Vocabulary) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ananym.functions.hashing import below_fraction, hash_number, seeded_hash
-from ananym.operators.order import DIRECT_ROWS, nth_in_order
+from ananym.operators.order import nth_in_order, up_to
 
 TRAIN = "train"
 VALID = "valid"
@@ -18,13 +18,13 @@ HASH_NUMBER_DIGITS = 12
 def take_first(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The first ``n`` rows by an integer key.
 
-    A small ``n`` is a top-n. For a large one the n-th key is found by counting, and the rows are then a
-    filter on that key, which reaches the file scan.
+    The n-th key is found by counting over the key column, so that neither many rows nor long texts
+    meet in one task; the rows are then a filter on that key, which reaches the file scan.
     """
-    if n <= DIRECT_ROWS:
-        return df.orderBy(key).limit(n)
     last = nth_in_order(df, F.col(key), [F.col(key)], n)
-    return df if last is None else df.where(F.col(key) <= last[key])
+    if last is None:
+        return df if n > 0 else df.where(F.lit(False))
+    return df.where(up_to([F.col(key)], last))
 
 
 def take_any(df: DataFrame, n: int) -> DataFrame:
@@ -34,15 +34,23 @@ def take_any(df: DataFrame, n: int) -> DataFrame:
 
 def row_at(df: DataFrame, i: int, key: str = "doc_id") -> DataFrame:
     """The row with index ``i`` (from 0) by an integer key; empty if there is none."""
-    if i < DIRECT_ROWS:
-        return df.orderBy(key).offset(i).limit(1)
     found = nth_in_order(df, F.col(key), [F.col(key)], i + 1)
     return df.where(F.lit(False)) if found is None else df.where(F.col(key) == found[key])
 
 
+def first_by_hash(df: DataFrame, n: int, seed: int, key: str) -> Column:
+    """True for the ``n`` rows that come first by seeded hash; found over the key column alone."""
+    if n < 1:
+        return F.lit(False)
+    digest = seeded_hash(seed, F.col(key))
+    keys = [digest.alias("digest"), F.col(key)]
+    last = nth_in_order(df, hash_number(digest, HASH_NUMBER_DIGITS), keys, n)
+    return F.lit(True) if last is None else up_to([digest, F.col(key)], last)
+
+
 def random_rows(df: DataFrame, k: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """``k`` rows in seeded random order, always within range."""
-    return df.orderBy(seeded_hash(seed, F.col(key)), key).limit(k)
+    """``k`` rows picked by seeded hash, always within range."""
+    return df.where(first_by_hash(df, k, seed, key))
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 0, key: str = "doc_id") -> DataFrame:
@@ -56,14 +64,7 @@ def split_exact(df: DataFrame, test_size: float, seed: int = 0, key: str = "doc_
     Valid rows are the first by seeded hash. Finding the last of them takes two small jobs over the key
     column; the split itself is then a comparison with that row, so documents are not shuffled.
     """
-    digest = seeded_hash(seed, F.col(key))
-    wanted = math.ceil(test_size * df.count())
-    order = [digest.alias("digest"), F.col(key).alias("key")]
-    last = nth_in_order(df, hash_number(digest, HASH_NUMBER_DIGITS), order, wanted)
-    if last is None:
-        return df.withColumn("split", F.lit(TRAIN))
-    bound = last["digest"]
-    valid = (digest < bound) | ((digest == bound) & (F.col(key) <= last["key"]))
+    valid = first_by_hash(df, math.ceil(test_size * df.count()), seed, key)
     return df.withColumn("split", F.when(valid, VALID).otherwise(TRAIN))
 
 

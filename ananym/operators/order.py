@@ -30,7 +30,9 @@ def nth_in_order(df: DataFrame, number: Column, keys: list[Column], n: int) -> R
     while inside > DIRECT_ROWS and low < high:
         width = -(-(high - low + 1) // HISTOGRAM_CELLS)
         open_range = F.col("__number").between(low, high)
-        cell = F.expr(f"(__number - {low}L) div {width}L")
+        # A range wider than a bigint needs the longer type for the distance.
+        distance = "bigint" if high - low < 2**63 else "decimal(20,0)"
+        cell = F.expr(f"cast((cast(__number AS {distance}) - ({low})) div {width} AS bigint)")
         cells = keyed.where(open_range).groupBy(cell.alias("cell")).count().orderBy("cell").collect()
         for row in cells:
             if n <= row["count"]:
@@ -42,6 +44,15 @@ def nth_in_order(df: DataFrame, number: Column, keys: list[Column], n: int) -> R
     return rest.orderBy(*rest.columns).offset(n - 1).limit(1).first()
 
 
+def up_to(keys: list[Column], last: Row) -> Column:
+    """True for rows whose keys come no later in their order than those of ``last``."""
+    *earlier, (key, bound) = zip(keys, last)
+    inside = key <= bound
+    for key, bound in reversed(earlier):
+        inside = (key < bound) | ((key == bound) & inside)
+    return inside
+
+
 def indexed(df: DataFrame, digest: str, ties: list[str], index: str = "index") -> DataFrame:
     """Number rows from 0 in the order of a hash column.
 

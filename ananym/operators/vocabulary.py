@@ -25,10 +25,10 @@ MAX_VOCAB = 1 << 20
 END_OF_SYMBOLS = chr(0x10FFFF)
 
 # What the driver may hold in one round: pairs, distinct runs of them, and symbols in those runs.
-MAX_PAIRS = 4096
+MAX_PAIRS = 16_384
 MAX_RUNS = 50_000
 MAX_RUN_SYMBOLS = 1_000_000
-FIRST_PAIRS = 256
+FIRST_PAIRS = 64
 MERGES_BY_BATCH = 256
 
 VOCAB_SCHEMA = "id int, token string, is_special boolean"
@@ -282,7 +282,7 @@ def train_vocabulary(words: DataFrame, config: VocabConfig = VocabConfig()) -> V
         if not merges:
             merges = independent_merges(ranked, tokens, config.vocab_size)
         if len(runs) < MAX_RUNS // 4:
-            lookahead = min(lookahead * 2, MAX_PAIRS)
+            lookahead = min(lookahead * (4 if len(runs) < MAX_RUNS // 16 else 2), MAX_PAIRS)
         rounds += 1
         state = rewrite(state.withColumn("word", merged(F.col("word"), merges)))
     spelled = tokens.spellings

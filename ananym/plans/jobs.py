@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananym.config import PAD, VocabConfig
@@ -13,7 +13,6 @@ from ananym.operators.rows import reverse_rows, select_columns
 from ananym.operators.sequences import CHUNK, TRUNCATE, fit_context
 from ananym.operators.vocabulary import Vocabulary, train_vocabulary
 from ananym.operators.words import training_text, word_counts
-from ananym.session import spread
 
 
 def prepare_corpus(
@@ -68,16 +67,12 @@ def tokenise_corpus(
 
 
 def training_batches(sequences: DataFrame, vocabulary: Vocabulary, batch_size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """One epoch of padded, labelled batches in shuffled order."""
+    """One epoch of padded, labelled batches in shuffled order.
+
+    ``sequences`` is scanned twice, once for its keys alone, so it should be a stored table.
+    """
     pad_id = vocabulary.vocab.where(F.col("is_special") & (F.col("token") == PAD)).first()["id"]
     batches = assign_batches(epoch_order(sequences, seed, epoch), batch_size)
     return collate(batches, pad_id).select(
         "batch_id", "position", "doc_id", "chunk", "input_ids", "attention_mask", "labels"
     )
-
-
-def read_and_prepare(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Prepare a parquet corpus, spreading a small one over all cores."""
-    from ananym.sources.corpus import read_corpus
-
-    return prepare_corpus(spread(read_corpus(spark, path), "doc_id"), **options)

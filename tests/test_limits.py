@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ananym.operators import limits, order
+from ananym.operators import order
 from ananym.operators.limits import (
     random_rows,
     row_at,
@@ -33,7 +33,6 @@ def counting(monkeypatch):
     """Make small tables take the path of large ones."""
     monkeypatch.setattr(order, "DIRECT_ROWS", 10)
     monkeypatch.setattr(order, "HISTOGRAM_CELLS", 16)
-    monkeypatch.setattr(limits, "DIRECT_ROWS", 0)
 
 
 @pytest.mark.parametrize("n", [1, 9, 777, 1999])
@@ -56,6 +55,13 @@ def test_take_first_reaches_the_scan(spark, counting, tmp_path):
     assert "LessThanOrEqual(doc_id,1233)" in plan and "Exchange" not in plan
 
 
+def test_keys_over_the_whole_integer_range(spark, counting):
+    keys = [-(2**63), -(2**62), -5, 0, 3, 2**40, 2**63 - 1] + list(range(100, 160))
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for n in (1, 2, 5, 60, len(keys)):
+        assert sorted_ids(take_first(df, n)) == sorted(keys)[:n]
+
+
 def test_nth_with_equal_numbers(spark, counting):
     df = spark.range(300).select((F.col("id") % 3).alias("v"), F.col("id"))
     want = sorted((i % 3, i) for i in range(300))
