@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ananym.session import stored
 # Words of at most HEAD_CHARS characters, HEAD_WORDS of them, are joined by broadcast: below 64 MB whatever the corpus.
 HEAD_WORDS = 100_000
 HEAD_CHARS = 32
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 CACHED_CHARS = 64
 MAX_SPELLING_CHARS = 16 << 20
 
@@ -140,8 +141,9 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
         token_ids, pairs = shared.value
         seen: dict[str, list[int]] = {}
 
-        def ids_of(text: str) -> list[int]:
+        def ids_of(text: str | None) -> np.ndarray:
             out: list[int] = []
+            text = unicodedata.normalize("NFKC", text) if text else ""
             pieces = text.replace(WORD_MARK, " ").split(" ") if text else []
             if len(pieces) > 1 and not pieces[0]:
                 del pieces[0]
@@ -154,10 +156,10 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
                             seen.clear()
                         seen[piece] = ids
                 out += ids
-            return out
+            return np.array(out, dtype=np.int32)
 
         for batch in batches:
-            yield batch.map(lambda t: ids_of(unicodedata.normalize("NFKC", t)) if t else [])
+            yield batch.map(ids_of)
 
     # Keeps the optimiser from copying the call into every later use of the ids.
     encode = encode.asNondeterministic()

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,8 +76,8 @@ def merged(word: Column, merges: list[tuple[str, str]]) -> Column:
     def rewrite(symbols: str) -> str:
         done = -1
         while True:
-            pairs = (symbols[i : i + 2] for i in range(len(symbols) - 1))
-            ahead = [r for r in (rank.get(p, -1) for p in pairs) if r > done]
+            found = [rank[p] for p in map(add, symbols, symbols[1:]) if p in rank]
+            ahead = [r for r in found if r > done]
             if not ahead:
                 return symbols
             done = min(ahead)
@@ -105,7 +106,7 @@ def runs_of(word: Column, pairs: set[str]) -> Column:
             yield batch.map(runs)
 
     def runs(symbols: str) -> list[str]:
-        ends = [i for i in range(1, len(symbols)) if symbols[i - 1 : i + 1] not in pairs]
+        ends = [i for i, pair in enumerate(map(add, symbols, symbols[1:]), 1) if pair not in pairs]
         starts = [0, *ends]
         return [symbols[a:b] for a, b in zip(starts, [*ends, len(symbols)]) if b - a > 1]
 
