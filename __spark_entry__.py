@@ -6,6 +6,7 @@ training short; it is the ordinary size argument of that operator and does not l
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -393,6 +394,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return corpus_report(prepare_corpus(documents(spark, "/root/testdata/sf0.001")))
 
 
+def _training_data(kind: str) -> dict:
+    """Queries or SQL of the subpackage for language-model training data and of its pipeline, if they are there."""
+    found: dict = {}
+    for name in ("ananym.llm.queries", "corpus_pipeline"):
+        try:
+            module = importlib.import_module(name)
+        except ModuleNotFoundError as error:
+            if error.name not in ("ananym.llm", "ananym.llm.queries", "corpus_pipeline"):
+                raise
+        else:
+            found |= getattr(module, kind)()
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources and sinks
@@ -478,7 +493,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # streams
         "stream_prepare": stream_prepare,
         "stream_chunks": stream_chunks,
-    }
+    } | _training_data("queries")
 
 
 # --- SQL checks -----------------------------------------------------------------------------------
@@ -738,4 +753,4 @@ found AS (SELECT run, regexp_extract_all(log, '\{''loss'': ([\d\.]+),', 1) AS hi
 SELECT run, generate_subscripts(hits, 1) - 1 AS step, unnest(hits)::DOUBLE AS loss FROM found""",
         "stream_prepare": f"SELECT doc_id, reverse(text) AS text, split FROM ({_SPLIT_HASH})",
         "stream_chunks": _LENGTHS + "SELECT doc_id, chunk::BIGINT AS chunk, 64::INT AS length, array_to_string(ids, ',') AS ids FROM cut",
-    }
+    } | _training_data("oracle_sql")
