@@ -158,19 +158,29 @@ def windows(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    power, done, part = np.uint64(base), 0, hashes
+    power, done, part = base, 0, hashes
     size = 1
     while size <= length:
         if length & size:
-            out = out * power + part[done : done + n]
+            out = out * np.uint64(power) + part[done : done + n]
             done += size
         if size * 2 <= length:
-            part = part[:-size] * power + part[size:]
-            power = power * power
+            part = part[:-size] * np.uint64(power) + part[size:]
+            power = power * power % 2**64
         size *= 2
     return mix64(out)
 
 
+def ranges(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the word hashes in each range, by prefix sums over powers of an odd base."""
+    steps = np.full(len(hashes) + 1, base, np.uint64)
+    back = np.full(len(hashes) + 1, pow(base, -1, 2**64), np.uint64)
+    steps[0] = back[0] = 1
+    steps, back = np.multiply.accumulate(steps), np.multiply.accumulate(back)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * steps[:-1], dtype=np.uint64)))
+    return mix64((sums[end] - sums[begin]) * back[begin])
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import mixing, sharding
+from ananym.llm import mixing, packing, sharding, substrings
 
 SHARDS = 40
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """A vocabulary file of the public tokenizers installed beside Python, on the driver as on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,8 +36,19 @@ def op3_sharding(spark, sf):
     return sharding.shard_rows(_table(spark, sf, "documents"), SHARDS)
 
 
+def op4_substrings(spark, sf):
+    kept = substrings.remove_repeats(_table(spark, sf, "documents"))
+    words = F.btrim(F.regexp_replace(F.coalesce("kept", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op7_packing(spark, sf):
+    pieces = packing.pack(_table(spark, sf, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding}
+    return {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
