@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import mixing, packing, sharding, substrings
+from ananym.llm import mixing, neardup_vectors, packing, sharding, substrings, topk
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op1_mixing(spark, sf):
     return ordered.drop("positions")
 
 
+def op2_neardup_vectors(spark, sf):
+    return neardup_vectors.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 def op3_sharding(spark, sf):
     return sharding.shard_rows(_table(spark, sf, "documents"), SHARDS)
 
@@ -42,14 +46,47 @@ def op4_substrings(spark, sf):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op6_topk(spark, sf):
+    return topk.top_inner_products(_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_packing(spark, sf):
     pieces = packing.pack(_table(spark, sf, "documents"), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing}
+
+
+_OP2 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors AS a JOIN vectors AS b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98
+),
+reached AS (SELECT a AS node, a AS root FROM links UNION SELECT links.b, root FROM reached JOIN links ON a = node),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
+counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN roots ON vec_id = roots.node LEFT JOIN counts ON vec_id = counts.node"""
+_OP6 = """
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.x, p.x)::BIGINT AS score
+  FROM points AS q JOIN points AS p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_neardup_vectors": _OP2, "op6_topk": _OP6}
