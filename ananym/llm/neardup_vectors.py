@@ -225,6 +225,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, vector: str
     cells = written(classes.select("id", "kind", "vector").mapInArrow(_sign, "id long, cell long, table int, home boolean"), "vector-cells")
     busy = cells.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("probers")).where("homes > 0 and probers > 1")
     busy = busy.select("cell", F.ceil(F.col("homes") / HOME_CHUNK).alias("chunks"), F.ceil(F.col("probers") / PROBER_CHUNK).alias("sides"))
+    busy = written(busy, "vector-busy")  # a table of its own, so that Spark can split a hot cell of the join
     met = cells.join(busy.hint("merge"), "cell")
     salt = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))

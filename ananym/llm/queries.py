@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import mixing, neardup_vectors, packing, sharding, substrings, topk
+from ananym.llm import bagminhash, mixing, neardup_vectors, packing, rules, sharding, substrings, topk, toxicity
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,13 @@ def op4_substrings(spark, sf):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark, sf):
+    docs = _table(spark, sf, "documents")
+    model = toxicity.fit_severity(docs, _table(spark, sf, "labels"))
+    scored = toxicity.score_severity(docs, model, keep=["doc_id"])
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op6_topk(spark, sf):
     return topk.top_inner_products(_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -55,8 +62,18 @@ def op7_packing(spark, sf):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_bagminhash(spark, sf):
+    return bagminhash.near_duplicates(_table(spark, sf, "documents")).drop("h1", "h2")
+
+
+def op10_rules(spark, sf):
+    docs = _table(spark, sf, "documents")
+    scored = rules.score_quality(docs, rules.fit_quality(docs, _table(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op10_rules": op10_rules}
 
 
 _OP2 = """

@@ -107,7 +107,8 @@ def _paths(occurrences: DataFrame, span: int) -> DataFrame:
     edges = near.groupBy("anchor", "cell").agg(
         F.count("*").alias("times"), same("after").alias("one_after"), same("before").alias("one_before"), F.min(F.struct("d", "t", "start")).alias("first")
     )
-    marked = occurrences.join(edges.hint("merge"), ["anchor", "cell"]).where("times > 1")
+    edges = written(edges.where("times > 1"), "passage-graph")
+    marked = occurrences.join(edges.hint("merge"), ["anchor", "cell"])
     marked = written(marked, "passage-edges")
     follows = (
         (F.lag("nth").over(in_document) == F.col("nth") - 1)
@@ -153,8 +154,10 @@ def _edge_windows(docs: DataFrame, places: DataFrame, span: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Word ranges ``d, t, begin, end`` whose windows all start earlier as well."""
     cells = written(_cells(docs.select("__d", "__t", "__text"), span), "passage-cells")
+    # Written tables on both sides of a join let Spark split a hot key.
     anchors = cells.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("cell") != F.max("cell")).alias("mixed")).where("times > 1")
-    occurrences = written(cells.join(anchors.drop("times").hint("merge"), "anchor"), "passage-repeats")
+    anchors = written(anchors.drop("times"), "passage-anchors")
+    occurrences = written(cells.join(anchors.hint("merge"), "anchor"), "passage-repeats")
     paths = _paths(occurrences, span)
     whole = written(paths.where(F.struct("d", "t", F.col("begin").alias("start")) != F.col("first")).select("d", "t", "begin", "end"), "passage-spans")
     # Cells of one anchor that differ share windows at most in part; their first occurrences are compared window by window.
@@ -162,6 +165,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     single = written(_edge_windows(docs, firsts, span), "passage-windows")
     place = F.struct("d", "t", "start")
     shared = single.groupBy("anchor", "word").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    shared = written(shared, "passage-shared")
     later = single.join(shared.hint("merge"), ["anchor", "word"]).where(place != F.col("first"))
     return whole.union(later.select("d", "t", F.col("start").alias("begin"), (F.col("start") + span).alias("end")))
 
