@@ -119,3 +119,17 @@ def training_order(placed: DataFrame, key: str = "doc_id") -> DataFrame:
 def word_count(text: str = "text") -> Column:
     """Number of words in a text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The documents that the mix takes, one row per copy, in training order; columns of ``docs``.
+
+    Positions are found for hashes of rows, without texts; one join then brings the rows back. Rows equal in all columns are
+    placed each for itself.
+    """
+    marks = [F.xxhash64(*docs.columns).alias("__m1"), F.xxhash64(F.lit(1), *[F.col(c).isNull() for c in docs.columns], *docs.columns).alias("__m2")]
+    narrow = docs.select("*", *marks)
+    placed = curriculum(narrow, word_count(text), ["__m1", "__m2"], source, key)
+    copies = placed.select("__m1", "__m2", F.explode("positions").alias("__position"))
+    rows = narrow.dropDuplicates(["__m1", "__m2"]).join(copies.hint("merge"), ["__m1", "__m2"])
+    return rows.repartitionByRange("__position", "__m1").sortWithinPartitions("__position", "__m1").select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import bagminhash, mixing, neardup_vectors, packing, rules, sharding, substrings, topk, toxicity
+from ananym.llm import bagminhash, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +66,13 @@ def op8_bagminhash(spark, sf):
     return bagminhash.near_duplicates(_table(spark, sf, "documents")).drop("h1", "h2")
 
 
+def op9_recurrent(spark, sf):
+    docs = _table(spark, sf, "documents")
+    held_out = recurrent.held_out(F.col("doc_id"))
+    scored = recurrent.language_scores(docs, ~held_out)
+    return scored.withColumn("held_out", recurrent.held_out(F.col("doc_id")))
+
+
 def op10_rules(spark, sf):
     docs = _table(spark, sf, "documents")
     scored = rules.score_quality(docs, rules.fit_quality(docs, _table(spark, sf, "labels")))
@@ -73,7 +80,7 @@ def op10_rules(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op10_rules": op10_rules}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules}
 
 
 _OP2 = """

@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
 
     First is by key, then place in the document. Windows are judged on the input. Words are runs without ASCII white space,
     compared byte by byte through 128 bits of hash. Returns ``keep`` with ``n_words, n_removed`` and ``kept``: the text
-    without those words, other characters as they were. A null text has no words (``kept`` is null). Rows with the same
+    without those words and the white space before each, other characters as they were. A null text has no words (``kept`` is null). Rows with the same
     key and text count as one document and get the same result; among rows with one key the content's hash decides
     the order; null keys come last. ``key`` is an integer column. An empty table gives an empty table.
     """
@@ -202,11 +202,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
                     np.add.at(cover, [r["end"] for r in ranges_], -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     removed[row] = gone.sum()
+                    # A word that goes takes the white space before it along.
                     data, out, last = kept[row].encode(), [], 0
                     for drop, m in zip(gone, word.finditer(data)):
-                        if drop:
-                            out.append(data[last : m.start()])
-                            last = m.end()
+                        if not drop:
+                            out.append(data[last if out or not last else m.start() : m.end()])
+                        last = m.end()
                     kept[row] = b"".join([*out, data[last:]]).decode()
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[2:], pa.array(counts, pa.int64()), pa.array(removed), pa.array(kept, pa.string())], names=schema.names
