@@ -205,12 +205,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
 
 def deduplicate(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group, the one with the least key; rows that repeat in key and text become one row."""
-    marks = [F.col(key).cast("long").alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__h1"), F.hash(F.coalesce(text, F.lit(""))).alias("__h2")]
+    # All columns travel in one struct, so that no name of theirs can clash.
+    content = F.coalesce(F.col(text), F.lit(""))
     names = ["__id", "__h1", "__h2"]
+    rows = docs.select(F.struct("*").alias("__row"), F.col(key).cast("long").alias("__id"), F.xxhash64(content).alias("__h1"), F.hash(content).alias("__h2"))
     found = written(near_duplicates(docs, least, text, key), "bag-decisions").withColumnsRenamed({key: "__id", "h1": "__h1", "h2": "__h2"})
     gone = found.where(~F.col("kept")).select(names).distinct()
     twice = found.where(F.col("kept") & F.col("__id").isNotNull()).groupBy(names).count().where("count > 1").select(names)
-    left = docs.select("*", *marks).join(gone, names, "left_anti")
+    left = rows.join(gone, names, "left_anti")
     once = left.join(twice, names, "left_anti")
     again = left.join(twice, names, "left_semi").dropDuplicates(names)
-    return once.unionByName(again).select(docs.columns)
+    return once.unionByName(again).select("__row.*")

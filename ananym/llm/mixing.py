@@ -127,9 +127,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     Positions are found for hashes of rows, without texts; one join then brings the rows back. Rows equal in all columns are
     placed each for itself.
     """
-    marks = [F.xxhash64(*docs.columns).alias("__m1"), F.xxhash64(F.lit(1), *[F.col(c).isNull() for c in docs.columns], *docs.columns).alias("__m2")]
-    narrow = docs.select("*", *marks)
-    placed = curriculum(narrow, word_count(text), ["__m1", "__m2"], source, key)
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    # All columns travel in one struct, so that no name of theirs can clash.
+    narrow = docs.select(F.struct("*").alias("__row"), F.xxhash64(*nulls, *values).alias("__m1"), F.xxhash64(F.lit(1), *values, *nulls).alias("__m2"))
+    sizes = docs.select(
+        F.col(text).alias("__text"), F.col(source).alias("__source"), F.xxhash64(*nulls, *values).alias("__m1"), F.xxhash64(F.lit(1), *values, *nulls).alias("__m2")
+    )
+    placed = curriculum(sizes, word_count("__text"), ["__m1", "__m2"], "__source", "__m1")
     copies = placed.select("__m1", "__m2", F.explode("positions").alias("__position"))
     rows = narrow.dropDuplicates(["__m1", "__m2"]).join(copies.hint("merge"), ["__m1", "__m2"])
-    return rows.repartitionByRange("__position", "__m1").sortWithinPartitions("__position", "__m1").select(docs.columns)
+    return rows.repartitionByRange("__position", "__m1").sortWithinPartitions("__position", "__m1").select("__row.*")

@@ -21,7 +21,7 @@ def permute(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
     """
     half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
-    keys = mix64(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix64(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
 
     def network(x: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask

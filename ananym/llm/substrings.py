@@ -216,3 +216,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
     whole = _document_key(docs, key, text, F.col(text).alias("__own"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]).drop("__text")
     joined = whole.join(merged.hint("merge"), (whole["__d"] == merged["d"]) & (whole["__t"] == merged["t"]), "left")
     return joined.select("__own", "__spans", *[f"__keep{i}" for i in range(len(keep))]).mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: str = "doc_id", length: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; ``length``, if given, is set to the characters left."""
+    # All columns travel in one struct, so that no name of theirs can clash.
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.struct("*").alias("__row"))
+    cut = remove_repeats(rows, span, "__text", "__key", ["__row"])
+    own = {text: F.col("kept")} | ({length: F.length("kept").cast("long")} if length else {})
+    return cut.select(*[own.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

@@ -177,15 +177,15 @@ def fit_severity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) with ``severity`` (expected grade), ``p_toxic`` (P of any grade above 0) and ``rejected``.
+    """``keep`` (the key by default) with ``severity`` (expected grade), ``p_toxic`` (P of any grade above 0) and ``rejected``.
 
     Whole texts are scored; a null or empty text has no features. Rows that repeat get equal scores.
     """
     prepare_session(docs.sparkSession)
-    keep = keep if keep is not None else docs.columns
+    keep = keep or ["doc_id"]
     schema = StructType([docs.schema[c] for c in keep])
     renamed = [F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]
-    out = StructType([*[f for f in schema]]).add("severity", "double").add("p_toxic", "double")
+    out = StructType(schema.fields.copy()).add("severity", "double").add("p_toxic", "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,3 +198,10 @@ def score_severity(docs: DataFrame, model: SeverityModel, text: str = "text", ke
 
     found = docs.select(F.col(text).alias("__text"), *renamed).mapInArrow(scored, out)
     return found.withColumn("rejected", F.col("p_toxic") >= REJECT)
+
+
+def without_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    # All columns travel in one struct, so that no name of theirs can clash.
+    rows = docs.select(F.col(text).alias("__text"), F.struct("*").alias("__row"))
+    return score_severity(rows, model, "__text", ["__row"]).where(~F.col("rejected")).select("__row.*")
