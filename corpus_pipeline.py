@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ananym.llm import bagminhash, mixing, packing, substrings, toxicity
 from ananym.llm.common import written
@@ -15,7 +14,7 @@ from ananym.llm.queries import tokenizer_path
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject."""
     model = toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_severity(docs, model).where(~F.col("rejected")).select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +24,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with passages that stand earlier in the corpus cut out."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = substrings.remove_repeats(docs, keep=others)
-    return cut.select(*others, F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars")).select(docs.columns)
+    return substrings.without_repeats(docs, length="n_chars")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
