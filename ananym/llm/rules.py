@@ -132,8 +132,8 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def _tree(binned: np.ndarray, edges: list[np.ndarray], residual: np.ndarray, curve: np.ndarray, rows: np.ndarray, columns: np.ndarray, path: Rule, rules: list[Rule], step: np.ndarray) -> None:
-    """Grow a regression tree on the gradient; every node's path becomes a rule and leaves move ``step``."""
+def _tree(binned: np.ndarray, edges: list[np.ndarray], residual: np.ndarray, curve: np.ndarray, rows: np.ndarray, columns: np.ndarray, path: Rule, rules: list[Rule]) -> None:
+    """Grow a regression tree on the gradient; the path to every node becomes a rule."""
     best = None
     if len(path) < DEPTH and len(rows) >= 2 * LEAF_ROWS:
         total, weight = residual[rows].sum(), curve[rows].sum()
@@ -152,14 +152,13 @@ def _tree(binned: np.ndarray, edges: list[np.ndarray], residual: np.ndarray, cur
         if best is not None and best[0] <= total**2 / (weight + 1) + 1e-6:
             best = None
     if best is None:
-        step[rows] = residual[rows].sum() / (curve[rows].sum() + 1)
         return
     _, c, i = best
     low = binned[rows, c] <= i
     for above, part in ((False, rows[low]), (True, rows[~low])):
         further = (*path, (int(c), above, float(edges[c][i])))
         rules.append(further)
-        _tree(binned, edges, residual, curve, part, columns, further, rules, step)
+        _tree(binned, edges, residual, curve, part, columns, further, rules)
 
 
 def grow_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
@@ -177,22 +176,20 @@ def grow_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
         rows = np.sort(random.choice(len(y), max(1, len(y) // 2), replace=False))
         columns = np.sort(random.choice(x.shape[1], x.shape[1] // 2, replace=False))
         own: list[Rule] = []
-        step = np.zeros(len(y))
-        _tree(binned, edges, y - p, p * (1 - p), rows, columns, (), own, step)
+        _tree(binned, edges, y - p, p * (1 - p), rows, columns, (), own)
         # Leaves move all rows, not only those the tree was grown on.
-        for rule in [r for r in own if not any(o[: len(r)] == r and len(o) > len(r) for o in own)] or []:
-            inside = holds(rule, x)
-            score[inside] += SHRINK * (y - p)[inside & _mask(rows, len(y))].sum() / ((p * (1 - p))[inside & _mask(rows, len(y))].sum() + 1)
+        grown = np.zeros(len(y), bool)
+        grown[rows] = True
+        inner = {o[:-1] for o in own}
+        for rule in own:
+            if rule not in inner:
+                inside = holds(rule, x)
+                fitted = inside & grown
+                score[inside] += SHRINK * (y - p)[fitted].sum() / ((p * (1 - p))[fitted].sum() + 1)
         rules += [r for r in own if all(np.isfinite(limit) for _, _, limit in r)]
     return list(dict.fromkeys(rules))
 
 
-def _mask(rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[rows] = True
-    return out
-
-
 def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     out = np.ones(len(x), bool)
     for c, above, limit in rule:
@@ -231,7 +228,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     measured = written(with_statistics(sample.withColumn("label", F.col("label").cast("int")), "text", ["id", "label"]), "quality-sample")
     table = measured.orderBy("id", *[f"__{s}" for s in STATISTICS]).toArrow()
     y = (np.asarray(table.column("label")) > 0).astype(np.float64)
-    if not 0 < y.mean() < 1:
+    if len(np.unique(y)) < 2:
         share = y.mean() if len(y) else 0.5
         return RuleModel([], np.zeros(0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     x = np.column_stack([np.asarray(table.column(f"__{s}")) for s in STATISTICS])

@@ -106,7 +106,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, scale: int = 1024,
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller id; fewer rows if there are fewer candidates. Null ids, null vectors and
     those with null or non-finite components take no part; shorter vectors count as padded with zeros. Rows with the query's own id
-    are not its candidates; other repeated rows each count. An empty table gives an empty table.
+    are not its candidates and an id asks once; other repeated rows each count. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     prepare_session(spark)
@@ -145,7 +145,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, scale: int = 1024,
     rings = written(rings.withColumn("parts", F.ceil(F.col("n") / DATA_CHUNK)), "search-rings")
     sides = -(-n_queries // QUERY_CHUNK)
 
-    queries = index.where("asks").select("id", "vector", "norm", "distances")
+    # An id asks once: among several rows the least vector does.
+    queries = index.where("asks").groupBy("id").agg(F.min(F.struct("vector", "norm", "distances")).alias("own")).select("id", "own.*")
     away = F.element_at("distances", F.col("pivot") + 1)
     gap = F.greatest(F.lit(0.0), F.col("inner") - away, away - F.col("outer"))
     # Half a unit more than any rounding of the bound.
