@@ -21,8 +21,8 @@ PREFIXES = (4, 5, 6)
 #: A labelled text gets a grade for each of these numbers of marked words that it reaches; 0 is the label alone.
 GRADE_STEPS = (0, 3, 8)
 STEPS = 400
-PENALTY = 1e-3
-REJECT = 0.5
+PENALTY = 1e-4
+REJECT = 0.25
 HELD_OUT_FOLDS = 5
 
 
@@ -145,15 +145,20 @@ def fit_severity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic[row])], names=["feature", "toxic"])
 
     counts = sample.select("text", "label").mapInArrow(named, "feature string, toxic boolean").groupBy("feature").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    t_rate = (F.col("t") + 0.5) / (totals[True] + 1)
-    c_rate = (F.col("c") + 0.5) / (totals[False] + 1)
-    odds = F.log(t_rate / (1 - t_rate)) - F.log(c_rate / (1 - c_rate))
-    spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    ranked = counts.where(F.col("t") + F.col("c") >= LEAST_DOCUMENTS).withColumn("z", odds / spread).withColumn("odds", odds)
-    chosen = ranked.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).select("feature", "z", "odds").collect()
+    # Features in order of the likelihood ratio of their two by two table of presence and label.
+    n = totals[True] + totals[False]
+    cells = ((F.col("t"), totals[True], 1), (F.col("c"), totals[False], 1), (totals[True] - F.col("t"), totals[True], 0), (totals[False] - F.col("c"), totals[False], 0))
+    present = F.col("t") + F.col("c")
+    ratio = F.lit(0.0)
+    for seen, column, has in cells:
+        expected = (present if has else n - present) * column / n
+        ratio = ratio + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+    odds = F.log((F.col("t") + 0.5) / (totals[True] + 1)) - F.log((F.col("c") + 0.5) / (totals[False] + 1))
+    ranked = counts.where(present >= LEAST_DOCUMENTS).withColumn("ratio", ratio).withColumn("odds", odds)
+    chosen = ranked.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "ratio", "odds").collect()
     features = {r["feature"]: i for i, r in enumerate(chosen)}
     #: Features that mark severity: far more usual in labelled texts.
-    marked = np.array([r["z"] > 4 and r["odds"] > 2 and not r["feature"].endswith("*") for r in chosen] or [False])
+    marked = np.array([r["ratio"] > 15 and r["odds"] > 2 and not r["feature"].endswith("*") for r in chosen] or [False])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
