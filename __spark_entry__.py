@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ananym.config import BatchConfig, VocabConfig
 from ananym.functions.arrays import chunked
+from ananym.functions.hashing import fraction_limit
 from ananym.functions.text import may_change_under_nfkc, nfkc, prefix, prefix_reversed, read_back, words
 from ananym.operators.batches import assign_batches, collate, epoch_order
 from ananym.operators.encoding import BY_DOCUMENT, BY_WORD, decode, encode, reverse_and_encode, token_strings
@@ -25,7 +26,7 @@ from ananym.operators.limits import (
     split_hash,
     take_first,
 )
-from ananym.operators.reports import corpus_report, loss_history, observed, step_report, token_report
+from ananym.operators.reports import corpus_report, length_report, loss_history, observed, step_report, token_report
 from ananym.operators.rows import (
     explode_rows,
     map_batches,
@@ -60,11 +61,12 @@ from ananym.sources.corpus import (
     read_corpus,
     read_split_files,
     read_splits,
+    store_with_keys,
     write_splits,
 )
 from ananym.sources.logs import read_log
 from ananym.sources.vocabulary import load_vocabulary, save_vocabulary
-from ananym.streaming.files import cut_stream, prepare_stream, stream_corpus, write_available
+from ananym.streaming.files import counting_rows, cut_stream, prepare_stream, progress, stream_corpus, write_available
 
 VOCAB_CAP = 150
 CONTEXT = 64
@@ -122,9 +124,46 @@ def read_json_lines(spark, sf):
 
 
 def read_text_lines(spark, sf):
+    """Lines with the count of their rows and of their distinct keys, over a corpus with several files."""
     path = scratch_path(spark, "text")
-    documents(spark, sf).select("text").write.text(path)
-    return read_corpus(spark, path, "text").groupBy("text").agg(F.count("*").alias("n"))
+    documents(spark, sf).select("text").repartition(4, "text").write.text(path)
+    lines = read_corpus(spark, path, "text")
+    keys = lines.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text").alias("text"))
+    return keys.groupBy("text").agg(F.sum("rows").alias("n"), F.count("*").alias("n_keys"))
+
+
+def keyless_split(spark, sf):
+    """A corpus stored without keys gets some; sizes of the exact split and of the first 300 rows of it."""
+    bare, keyed = scratch_path(spark, "bare"), scratch_path(spark, "keyed")
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    items.select(F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text")).write.json(bare)
+    corpus = store_with_keys(read_corpus(spark, bare, "json"), keyed)
+    sizes = split_exact(corpus, 0.1).groupBy("split").agg(F.count("*").alias("n"))
+    return sizes.unionByName(take_first(corpus, 300).agg(F.lit("first").alias("split"), F.count("*").alias("n")))
+
+
+def order_texts(spark, sf):
+    """Orders under a key of text: zero-padded numbers, reversed so that their order differs from that of the numbers."""
+    number = F.reverse(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select(number.alias("name"), "o_orderkey")
+
+
+def small_fraction(spark, sf):
+    """A hundred-thousandth of a hundred rows per line item."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    wide = items.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("copy"))
+    return sample_rows(wide.withColumn("doc_id", F.concat_ws("-", "item", F.col("copy").cast("string"))), 1e-5, seed=1).select("doc_id")
+
+
+def stream_progress(spark, sf):
+    """Rows that a stream of several files reports, counted over all its batches."""
+    path, files = scratch_path(spark, "stream"), scratch_path(spark, "many-files")
+    documents(spark, sf).repartition(6, "doc_id").write.parquet(files)
+    counter = counting_rows(spark)
+    query = write_available(prepare_stream(stream_corpus(spark, files, "*.parquet", max_files_per_trigger=1), 0.1), path)
+    rows = progress(query, counter)
+    spark.streams.removeListener(counter)
+    return spark.createDataFrame([(rows,)], "n_rows bigint")
 
 
 def read_subset(spark, sf):
@@ -158,9 +197,10 @@ def reopen_split(spark, sf):
 
 
 def bundled_splits(spark, sf):
+    """One table per role, bundled under the role's name."""
     turns = conversations(spark, sf)
-    named = {role: turns.where(F.col("role") == role).select("conv_id", "turn") for role in ("user", "assistant")}
-    return bundle_splits(named)
+    roles = [r["role"] for r in turns.select("role").distinct().orderBy("role").collect()]
+    return bundle_splits({role: turns.where(F.col("role") == role).select("conv_id", "turn") for role in roles})
 
 
 def vocabulary_saved(spark, sf):
@@ -331,16 +371,11 @@ def filled_windows(spark, sf):
 
 
 def lengths_report(spark, sf):
-    by_mode = [
-        fit_context(word_lengths(spark, sf), context, mode).withColumn("context", F.lit(context))
-        for context in (1024, 4096, CONTEXT)
-        for mode in (CHUNK, TRUNCATE)
-    ]
-    reports = [token_report(df, df_context, by=["mode", "context"]) for df, df_context in zip(by_mode, (1024, 1024, 4096, 4096, CONTEXT, CONTEXT))]
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+    """Both modes at three contexts, from one scan."""
+    contexts = F.explode(F.array(*[F.lit(c) for c in (1024, 4096, CONTEXT)])).alias("context")
+    wide = word_lengths(spark, sf).select(F.size("input_ids").alias("size"), contexts)
+    modes = F.explode(F.array(F.lit(CHUNK), F.lit(TRUNCATE))).alias("mode")
+    return length_report(wide.select("size", "context", modes))
 
 
 def epoch_steps(spark, sf):
@@ -415,6 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_json_lines": read_json_lines,
         "read_text_lines": read_text_lines,
         "read_subset": read_subset,
+        "keyless_split": keyless_split,
         "keep_local_copy": keep_local_copy,
         "read_split_files": split_files,
         "write_splits": write_and_read_splits,
@@ -444,6 +480,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_hash": lambda s, sf: split_hash(documents(s, sf), 0.1).select("doc_id", "split"),
         "row_at": lambda s, sf: row_at(documents(s, sf), 0).unionByName(row_at(documents(s, sf), 5)),
         "random_rows": lambda s, sf: random_rows(documents(s, sf), 10, seed=3),
+        "take_first_by_text": lambda s, sf: take_first(order_texts(s, sf), 12_345, "name"),
+        "row_at_by_text": lambda s, sf: row_at(order_texts(s, sf), 11_111, "name"),
+        "take_most_lines": lambda s, sf: take_first(s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), 12_345, "o_orderkey"),
+        "sample_small_fraction": small_fraction,
         "sample_hash": lambda s, sf: sample_rows(documents(s, sf), 0.25, seed=1).select("doc_id"),
         "corpus_report": lambda s, sf: corpus_report(prepare_corpus(documents(s, sf))),
         "observed_totals": observed_totals,
@@ -493,6 +533,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # streams
         "stream_prepare": stream_prepare,
         "stream_chunks": stream_chunks,
+        "stream_progress": stream_progress,
     } | _training_data("queries")
 
 
@@ -504,9 +545,10 @@ FROM (SELECT doc_id, text, row_number() OVER (ORDER BY md5(concat('0:', doc_id))
              count(*) OVER () AS n FROM documents)
 """
 _SPLIT_HASH = """
-SELECT doc_id, text, CASE WHEN substr(md5(concat('0:', doc_id)), 1, 4) < '1999' THEN 'valid' ELSE 'train' END AS split
+SELECT doc_id, text, CASE WHEN substr(md5(concat('0:', doc_id)), 1, 15) < '{tenth}' THEN 'valid' ELSE 'train' END AS split
 FROM documents
 """
+_SPLIT_HASH = _SPLIT_HASH.format(tenth=fraction_limit(0.1))
 _ORDINAL_LINES = """
 SELECT doc_id, generate_subscripts(lines, 1) - 1 AS place, unnest(lines) AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
@@ -620,13 +662,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "read_parquet": all_texts,
         "read_json_lines": all_texts,
-        "read_text_lines": "SELECT line AS text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line",
+        "read_text_lines": "SELECT line AS text, count(*) AS n, count(*) AS n_keys FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line",
+        "keyless_split": "SELECT 'valid' AS split, ceil(0.1::DOUBLE * count(*))::BIGINT AS n FROM lineitem UNION ALL SELECT 'train', count(*) - ceil(0.1::DOUBLE * count(*))::BIGINT FROM lineitem UNION ALL SELECT 'first', 300",
         "read_subset": "SELECT doc_id, text, lang FROM documents WHERE lang = 'fr'",
         "keep_local_copy": all_texts,
         "read_split_files": _SPLIT_HASH,
         "write_splits": f"SELECT doc_id, reverse(text) AS text, split, 'reversed' AS orientation FROM ({_SPLIT_EXACT.format(size=0.1)})",
         "reopen_split": f"SELECT doc_id, reverse(text) AS text FROM ({_SPLIT_EXACT.format(size=0.1)}) WHERE split = 'valid'",
-        "bundle_splits": "SELECT conv_id, turn, role AS split FROM conversations WHERE role IN ('user', 'assistant')",
+        "bundle_splits": "SELECT conv_id, turn, role AS split FROM conversations WHERE role IS NOT NULL",
         "vocabulary_saved": _trained_sql(_VOCAB + "SELECT id, token, is_special FROM vocab"),
         "training_log": _LOG + "SELECT run, line AS value, count(*) AS n FROM lines GROUP BY run, line",
         "select_columns": "SELECT text FROM documents",
@@ -647,7 +690,11 @@ def oracle_sql() -> dict[str, str]:
         "split_hash": f"SELECT doc_id, split FROM ({_SPLIT_HASH})",
         "row_at": "SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn IN (1, 6)",
         "random_rows": f"{all_texts} ORDER BY md5(concat('3:', doc_id)), doc_id LIMIT 10",
-        "sample_hash": "SELECT doc_id FROM documents WHERE substr(md5(concat('1:', doc_id)), 1, 4) < '4000'",
+        "take_first_by_text": "SELECT name, o_orderkey FROM (SELECT reverse(lpad(o_orderkey::VARCHAR, 12, '0')) AS name, o_orderkey FROM orders) ORDER BY name LIMIT 12345",
+        "row_at_by_text": "SELECT name, o_orderkey FROM (SELECT reverse(lpad(o_orderkey::VARCHAR, 12, '0')) AS name, o_orderkey FROM orders) ORDER BY name LIMIT 1 OFFSET 11111",
+        "take_most_lines": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 12345",
+        "sample_small_fraction": f"SELECT doc_id FROM (SELECT concat(l_orderkey, '-', l_linenumber, '-', c) AS doc_id FROM lineitem, range(100) AS r(c)) WHERE substr(md5(concat('1:', doc_id)), 1, 15) < '{fraction_limit(1e-5)}'",
+        "sample_hash": f"SELECT doc_id FROM documents WHERE substr(md5(concat('1:', doc_id)), 1, 15) < '{fraction_limit(0.25)}'",
         "corpus_report": f"SELECT split, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM ({_SPLIT_EXACT.format(size=0.1)}) GROUP BY split",
         "observed_totals": "SELECT count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM documents",
         "training_text": f"SELECT text FROM ({_SPLIT_HASH}) WHERE split = 'train'",
@@ -721,9 +768,9 @@ SELECT * FROM (
 ) WHERE n_rows > 0""",
         "step_report": _LENGTHS
         + """
-SELECT CASE WHEN substr(md5(concat('0:', doc_id)), 1, 4) < '1999' THEN 'valid' ELSE 'train' END AS split,
+SELECT CASE WHEN substr(md5(concat('0:', doc_id)), 1, 15) < '{tenth}' THEN 'valid' ELSE 'train' END AS split,
        count(*) AS n_rows, 4::BIGINT AS accumulation, 40::BIGINT AS sequences_per_step, ceil(count(*) / 40.0)::BIGINT AS steps
-FROM cut GROUP BY 1""",
+FROM cut GROUP BY 1""".replace("{tenth}", fraction_limit(0.1)),
         "epoch_order": _LENGTHS
         + "SELECT doc_id, chunk, row_number() OVER (ORDER BY md5(concat('0:1:', doc_id, ':', chunk)), doc_id, chunk) - 1 AS position FROM cut",
         "epoch_batches": _LENGTHS + "SELECT doc_id, position, position // 8 AS batch_id FROM batched",
@@ -752,5 +799,6 @@ FROM wide, toks"""
 found AS (SELECT run, regexp_extract_all(log, '\{''loss'': ([\d\.]+),', 1) AS hits FROM logs)
 SELECT run, generate_subscripts(hits, 1) - 1 AS step, unnest(hits)::DOUBLE AS loss FROM found""",
         "stream_prepare": f"SELECT doc_id, reverse(text) AS text, split FROM ({_SPLIT_HASH})",
+        "stream_progress": "SELECT count(*) AS n_rows FROM documents",
         "stream_chunks": _LENGTHS + "SELECT doc_id, chunk::BIGINT AS chunk, 64::INT AS length, array_to_string(ids, ',') AS ids FROM cut",
     } | _training_data("oracle_sql")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_PREFIX_DIGITS = 4
+FRACTION_DIGITS = 15
 
 
 def seeded_hash(*parts: Column | int) -> Column:
@@ -19,9 +19,13 @@ def hash_number(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 
 
+def fraction_limit(fraction: float) -> str:
+    """The first hex digits at which digests are no longer below ``fraction``; exact, as 60 bits hold any float's part of them."""
+    return f"{int(fraction * 16.0**FRACTION_DIGITS):0{FRACTION_DIGITS}x}"
+
+
 def below_fraction(digest: Column, fraction: float) -> Column:
     """True for about ``fraction`` of all digests."""
-    limit = int(fraction * 16**HASH_PREFIX_DIGITS)
-    if limit >= 16**HASH_PREFIX_DIGITS:
+    if fraction >= 1:
         return F.lit(True)
-    return F.substring(digest, 1, HASH_PREFIX_DIGITS) < f"{limit:0{HASH_PREFIX_DIGITS}x}"
+    return F.substring(digest, 1, FRACTION_DIGITS) < fraction_limit(max(fraction, 0.0))

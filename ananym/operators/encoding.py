@@ -116,7 +116,7 @@ def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFra
     known = stored(word_tokens(counted, vocabulary), "word-tokens")
     short = known.where(F.length("word") <= HEAD_CHARS)
     rarity = [(-F.col("n")).alias("rarity"), F.col("word")]
-    last = nth_in_order(short, rarity[0], rarity, HEAD_WORDS)
+    last = nth_in_order(short, rarity, HEAD_WORDS)
     head = short if last is None else short.where(up_to(rarity, last))
     head = stored(head.select("word", "ids"), "frequent-words")
     joined = placed.join(F.broadcast(head), "word", "left")

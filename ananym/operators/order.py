@@ -5,45 +5,19 @@ Rows of a DataFrame have no order, so "the first n" and "the i-th" are defined b
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ananym.functions.hashing import hash_number
 
-HISTOGRAM_CELLS = 4096
-DIRECT_ROWS = 100_000
+BOUNDS = 63
+LAST_ROWS = 10_000
 INDEX_BUCKET_DIGITS = 4
 
 
-def nth_in_order(df: DataFrame, number: Column, keys: list[Column], n: int) -> Row | None:
-    """The ``keys`` of the n-th row (from 1) by ``number``, then ``keys``; None if there are fewer rows.
-
-    ``number`` is an integer column that never contradicts the order of ``keys``. Each pass counts rows in
-    at most 4,096 cells of the range still open and keeps the cell with the n-th row, until that cell is
-    small enough for a plain top-n. Only the key columns are scanned and nothing is shuffled but counts.
-    """
-    keyed = df.select(number.alias("__number"), F.struct(*keys).alias("__keys"))
-    low, high, total = keyed.agg(F.min("__number"), F.max("__number"), F.count("__number")).first()
-    if n < 1 or n > total:
-        return None
-    inside = total
-    while inside > DIRECT_ROWS and low < high:
-        width = -(-(high - low + 1) // HISTOGRAM_CELLS)
-        open_range = F.col("__number").between(low, high)
-        # A range wider than a bigint needs the longer type for the distance.
-        distance = "bigint" if high - low < 2**63 else "decimal(20,0)"
-        cell = F.expr(f"cast((cast(__number AS {distance}) - ({low})) div {width} AS bigint)")
-        cells = keyed.where(open_range).groupBy(cell.alias("cell")).count().orderBy("cell").collect()
-        for row in cells:
-            if n <= row["count"]:
-                break
-            n -= row["count"]
-        low, high = low + row["cell"] * width, min(high, low + (row["cell"] + 1) * width - 1)
-        inside = row["count"]
-    rest = keyed.where(F.col("__number").between(low, high)).select("__keys.*")
-    return rest.orderBy(*rest.columns).offset(n - 1).limit(1).first()
-
-
 def up_to(keys: list[Column], last: Row) -> Column:
     """True for rows whose keys come no later in their order than those of ``last``."""
     *earlier, (key, bound) = zip(keys, last)
@@ -53,6 +27,48 @@ def up_to(keys: list[Column], last: Row) -> Column:
     return inside
 
 
+def _cell(keys: list[Column], bounds: list[Row], first: int = 0) -> Column:
+    """How many of the ascending ``bounds`` lie before the keys, by halving."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(up_to(keys, bounds[middle]), _cell(keys, bounds[:middle], first)).otherwise(
+        _cell(keys, bounds[middle + 1 :], first + middle + 1)
+    )
+
+
+def nth_in_order(df: DataFrame, keys: list[Column], n: int) -> Row | None:
+    """The ``keys`` of the n-th row (from 1) in their order; None if there are fewer rows.
+
+    Keys may be of any type that Spark orders; a null key is an error, as such rows have no place. Each pass counts the
+    rows between a few bounds, which are keys drawn by hash, and keeps the range with the n-th row, until it is
+    small enough for a plain top-n. Only the key columns are scanned and nothing is shuffled but counts.
+    """
+    keyed = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    own = [F.col(c) for c in keyed.columns]
+    total, nulls = keyed.agg(F.count("*"), F.count_if(reduce(or_, [k.isNull() for k in own]))).first()
+    if nulls:
+        raise ValueError(f"{nulls} rows have no key; give rows keys first (sources.corpus.store_with_keys)")
+    if n < 1 or n > total:
+        return None
+    inside, rest = total, keyed
+    while inside > LAST_ROWS:
+        drawn = rest.orderBy(F.xxhash64(*own), *own).limit(BOUNDS).distinct().orderBy(*own).collect()
+        counts = {r["cell"]: r["count"] for r in rest.groupBy(_cell(own, drawn).alias("cell")).count().collect()}
+        cell = 0
+        while n > counts.get(cell, 0):
+            n -= counts.get(cell, 0)
+            cell += 1
+        if cell < len(drawn):
+            rest = rest.where(up_to(own, drawn[cell]))
+        if cell:
+            rest = rest.where(~up_to(own, drawn[cell - 1]))
+        if counts[cell] == inside:  # one key holds all rows that are left
+            break
+        inside = counts[cell]
+    return rest.orderBy(*own).offset(n - 1).limit(1).first()
+
+
 def indexed(df: DataFrame, digest: str, ties: list[str], index: str = "index") -> DataFrame:
     """Number rows from 0 in the order of a hash column.
 

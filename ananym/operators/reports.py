@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ananym.config import BatchConfig
+from ananym.operators.sequences import CHUNK
 
 # How a loss entry is written in a training log; the second form also takes exponents.
 LOSS_ENTRY = r"\{'loss': ([\d\.]+),"
@@ -28,6 +29,22 @@ def token_report(df: DataFrame, context_length: int, ids: str = "input_ids", by:
     )
 
 
+def length_report(lengths: DataFrame) -> DataFrame:
+    """The token report of both ways of cutting from document lengths alone: rows of ``size, context, mode``.
+
+    Many modes and contexts need one scan, and no array is cut. Groups without rows are left out.
+    """
+    size, context = F.col("size"), F.col("context")
+    rows = F.when(F.col("mode") == CHUNK, F.floor(size / context)).otherwise(F.lit(1))
+    tokens = F.when(F.col("mode") == CHUNK, rows * context).otherwise(F.least(size, context))
+    return (
+        lengths.select("mode", "context", rows.cast("bigint").alias("rows"), tokens.cast("bigint").alias("tokens"))
+        .groupBy("mode", "context")
+        .agg(F.sum("rows").alias("n_rows"), (F.sum("rows") * F.col("context")).alias("nominal_tokens"), F.sum("tokens").alias("actual_tokens"))
+        .where("n_rows > 0")
+    )
+
+
 def step_report(df: DataFrame, batch: BatchConfig, by: list[str] = ("split",)) -> DataFrame:
     """Sequences per optimiser step and steps for one epoch."""
     return df.groupBy(*by).agg(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +38,26 @@ def read_corpus(
 
 
 def keyed_text(lines: DataFrame) -> DataFrame:
-    """Key lines of text files by file, block and position in the block.
+    """Key lines of text files by their number: files in path order, lines in file order, from 0.
 
-    The key stays the same while the files and the split size do; store the corpus as parquet before
-    splitting it if either may change.
+    Lines are ranked inside one block of one file and offset by the counts of earlier blocks, of which there is
+    one row each. How files are cut into blocks and packed into tasks does not change the numbers.
     """
-    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
-    position = F.monotonically_increasing_id()
-    return lines.select(F.xxhash64(*place, position).alias("doc_id"), F.col("value").alias("text"))
+    place = ["file", "block"]
+    read = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text")
+    )
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    counts = read.groupBy(*place).agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    offsets = counts.select(*place, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Within a block the line ids that Spark gives are consecutive, so no rows need to be ranked.
+    return read.join(offsets, place).select((F.col("offset") + F.col("line") - F.col("first")).alias("doc_id"), "text")
+
+
+def store_with_keys(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """Write a corpus that has no unique key with one: numbers that are unique, not dense, and fixed by the writing."""
+    df.drop(key).withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def from_rows(spark: SparkSession, rows: list, schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
@@ -78,6 +91,13 @@ def read_split_files(spark: SparkSession, files: dict[str, str], fmt: str = "par
 
 
 def keep_copy(df: DataFrame, path: str) -> DataFrame:
-    """Keep a copy of a remote corpus: written at the first call, reused afterwards."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Keep a copy of a remote corpus: written at the first call, reused once it is complete.
+
+    Spark marks a finished copy; a folder without the mark is what a broken run left and is written again.
+    """
+    spark = df.sparkSession
+    try:
+        spark.read.text(f"{path}/_SUCCESS", wholetext=True).limit(1).collect()
+    except AnalysisException:
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

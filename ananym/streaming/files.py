@@ -5,9 +5,11 @@ The exact split, "first n" and batching need the whole table and stay batch-only
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ananym.operators.limits import split_hash
 from ananym.operators.rows import reverse_rows
@@ -60,6 +62,39 @@ def write_available(df: DataFrame, path: str, checkpoint: str | None = None, par
     return query
 
 
-def progress(query: StreamingQuery) -> int:
-    """Rows read so far by a stream."""
-    return sum(p["numInputRows"] for p in query.recentProgress)
+class RowCounter(StreamingQueryListener):
+    """Rows read by each run of the session's streams, counted batch by batch as they end.
+
+    ``StreamingQuery.recentProgress`` remembers only the latest batches; a listener sees every one.
+    """
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event):
+        self.rows[str(event.progress.runId)] = self.rows.get(str(event.progress.runId), 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.add(str(event.runId))
+
+
+def counting_rows(spark: SparkSession) -> RowCounter:
+    """Start counting the rows of this session's streams."""
+    counter = RowCounter()
+    spark.streams.addListener(counter)
+    return counter
+
+
+def progress(query: StreamingQuery, counter: RowCounter, timeout: float = 60.0) -> int:
+    """Rows read so far by this run of a stream; for one that has ended, once its end has been told."""
+    until = time.monotonic() + timeout
+    while not query.isActive and str(query.runId) not in counter.ended and time.monotonic() < until:
+        time.sleep(0.05)
+    return counter.rows.get(str(query.runId), 0)

@@ -31,8 +31,8 @@ def sorted_ids(df):
 @pytest.fixture
 def counting(monkeypatch):
     """Make small tables take the path of large ones."""
-    monkeypatch.setattr(order, "DIRECT_ROWS", 10)
-    monkeypatch.setattr(order, "HISTOGRAM_CELLS", 16)
+    monkeypatch.setattr(order, "LAST_ROWS", 10)
+    monkeypatch.setattr(order, "BOUNDS", 7)
 
 
 @pytest.mark.parametrize("n", [1, 9, 777, 1999])
@@ -66,8 +66,8 @@ def test_nth_with_equal_numbers(spark, counting):
     df = spark.range(300).select((F.col("id") % 3).alias("v"), F.col("id"))
     want = sorted((i % 3, i) for i in range(300))
     for n in (1, 100, 101, 250, 300):
-        assert tuple(nth_in_order(df, F.col("v"), [F.col("v"), F.col("id")], n)) == want[n - 1]
-    assert nth_in_order(df, F.col("v"), [F.col("v"), F.col("id")], 301) is None
+        assert tuple(nth_in_order(df, [F.col("v"), F.col("id")], n)) == want[n - 1]
+    assert nth_in_order(df, [F.col("v"), F.col("id")], 301) is None
 
 
 @pytest.mark.parametrize("size", [0.0, 0.005, 0.1, 0.5, 1.0])
@@ -112,3 +112,32 @@ def test_index_is_dense_and_in_hash_order(ids):
     got = [tuple(r) for r in df.select("index", "h").orderBy("index").collect()]
     assert [i for i, _ in got] == list(range(ids.count()))
     assert [h for _, h in got] == sorted(h for _, h in got)
+
+
+def test_text_keys(spark, counting):
+    df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("name"))
+    names = sorted(r["name"] for r in df.collect())
+    for n in (1, 77, 499):
+        assert sorted(r["name"] for r in take_first(df, n, "name").collect()) == names[:n]
+        assert row_at(df, n - 1, "name").first()["name"] == names[n - 1]
+
+
+@pytest.mark.parametrize("work", [lambda d: take_first(d, 5), lambda d: row_at(d, 5), lambda d: split_exact(d, 0.1), lambda d: split_hash(d, 0.1), lambda d: sample_rows(d, 0.5)])
+def test_missing_keys_are_an_error(spark, work):
+    df = spark.range(100).select(F.when(F.col("id") > 2, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    with pytest.raises(Exception, match="key"):
+        work(df).collect()
+
+
+def test_repeated_keys_are_an_error(spark):
+    df = spark.range(100).select((F.col("id") % 10).alias("doc_id"))
+    with pytest.raises(ValueError, match="keys repeat"):
+        take_first(df, 5)
+    with pytest.raises(ValueError, match="keys repeat"):
+        row_at(df, 5)
+
+
+def test_small_fractions(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("doc_id"))
+    assert 1 <= sample_rows(df, 1e-5).count() <= 30
+    assert 1 <= split_hash(df, 1e-5).where("split = 'valid'").count() <= 30

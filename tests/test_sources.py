@@ -5,9 +5,9 @@ from ananym.operators.reports import loss_history, observed
 from ananym.operators.rows import map_batches
 from ananym.plans import prepare_corpus
 from ananym.session import checkpoint_root, scratch_path, spread, stored
-from ananym.sources.corpus import from_rows, keep_copy, read_corpus, read_split_files, read_splits, write_splits
+from ananym.sources.corpus import from_rows, keep_copy, read_corpus, read_split_files, read_splits, store_with_keys, write_splits
 from ananym.sources.logs import read_log
-from ananym.streaming.files import prepare_stream, progress, stream_corpus, write_available
+from ananym.streaming.files import counting_rows, prepare_stream, progress, stream_corpus, write_available
 
 
 @pytest.fixture
@@ -143,9 +143,56 @@ def test_stream_continues_and_equals_batch(spark, docs, tmp_path):
     def run():
         return write_available(prepare_stream(stream_corpus(spark, source, "*.parquet"), 0.2), out, checkpoint, ["split"])
 
-    assert progress(run()) == 60
+    counter = counting_rows(spark)
+    assert progress(run(), counter) == 60
     docs.where("doc_id >= 60").write.mode("append").parquet(source)
-    assert progress(run()) == 40
+    assert progress(run(), counter) == 40
+    spark.streams.removeListener(counter)
     want = prepare_corpus(docs, test_size=0.2, exact=False).select("doc_id", "text", "split")
     assert sorted(read_splits(spark, out).select("doc_id", "text", "split").collect()) == sorted(want.collect())
     assert docs.count() == spark.read.parquet(out).select(F.countDistinct("doc_id")).first()[0]
+
+
+def test_text_keys_do_not_depend_on_the_reading(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} line {i}\n" for i in range(200)))
+    (tmp_path / "d.txt").write_text("")
+    want = {f"{name} line {i}": i + 200 * nth for nth, name in enumerate("abc") for i in range(200)}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("134217728b", "4194304b"), ("500b", "0b"), ("10000b", "100b")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            assert {r["text"]: r["doc_id"] for r in read_corpus(spark, str(tmp_path), "text").collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_a_broken_copy_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "copy")
+    whole = spark.range(1000).selectExpr("id AS doc_id", "'x' AS text")
+    whole.limit(10).write.parquet(path)
+    (tmp_path / "copy" / "_SUCCESS").unlink()
+    assert keep_copy(whole, path).count() == 1000
+    assert keep_copy(whole.limit(3), path).count() == 1000
+
+
+def test_keys_for_a_corpus_without(spark, tmp_path):
+    bare = spark.range(500).selectExpr("cast(null AS bigint) AS doc_id", "concat('t', id) AS text").repartition(5)
+    keyed = store_with_keys(bare, str(tmp_path / "keyed"))
+    assert keyed.select("doc_id").distinct().count() == 500
+    assert sorted(map(tuple, keyed.select("doc_id", "text").collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "keyed")).select("doc_id", "text").collect()))
+
+
+def test_progress_counts_more_batches_than_spark_remembers(spark, tmp_path):
+    spark.range(60).selectExpr("id AS doc_id", "'x' AS text").repartition(12).write.parquet(str(tmp_path / "in"))
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    counter = counting_rows(spark)
+    try:
+        query = write_available(stream_corpus(spark, str(tmp_path / "in"), "*.parquet", max_files_per_trigger=1), str(tmp_path / "out"))
+        assert progress(query, counter) == 60
+    finally:
+        spark.streams.removeListener(counter)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
