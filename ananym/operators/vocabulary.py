@@ -31,6 +31,7 @@ MAX_RUNS = 50_000
 MAX_RUN_SYMBOLS = 1_000_000
 FIRST_PAIRS = 64
 MERGES_BY_BATCH = 256
+LONG_WORD = 64
 
 VOCAB_SCHEMA = "id int, token string, is_special boolean"
 MERGES_SCHEMA = "rank int, left string, right string"
@@ -74,6 +75,8 @@ def merged(word: Column, merges: list[tuple[str, str]]) -> Column:
     rank = {pair: i for i, (pair, _) in enumerate(merges)}
 
     def rewrite(symbols: str) -> str:
+        if len(symbols) > LONG_WORD:
+            return rewrite_long(symbols)
         done = -1
         while True:
             found = [rank[p] for p in map(add, symbols, symbols[1:]) if p in rank]
@@ -83,6 +86,27 @@ def merged(word: Column, merges: list[tuple[str, str]]) -> Column:
             done = min(ahead)
             symbols = symbols.replace(*merges[done])
 
+    def rewrite_long(symbols: str) -> str:
+        """The same for a long word: only the neighbours of what is merged are looked at again."""
+        own: list[str | None] = list(symbols)
+        end = len(own)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        queue = [(rank[p], i) for i, p in enumerate(map(add, symbols, symbols[1:])) if p in rank]
+        heapify(queue)
+        while queue:
+            done, i = heappop(queue)
+            j = after[i]
+            if own[i] is None or j == end or own[i] + own[j] != merges[done][0]:
+                continue
+            own[i], own[j] = merges[done][1], None
+            k = after[i] = after[j]
+            if k < end:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < end and rank.get(own[x] + own[y], -1) > done:
+                    heappush(queue, (rank[own[x] + own[y]], x))
+        return "".join(filter(None, own))
+
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -174,20 +198,44 @@ def certain_merges(
     counted here, and elsewhere it ranks after ``last`` as the older pair did. So the ranking up to
     ``last`` is exact. A merge whose spelling exists already may add to pairs outside and ends the round.
     """
-    texts = [run for run, _ in runs]
+    # All runs one after another, an empty symbol after each; merged symbols are unlinked, so that a merge costs
+    # its occurrences and not the runs that hold them.
+    symbols: list[str | None] = []
+    weight: list[int] = []
+    for run, n in runs:
+        symbols += [*run, ""]
+        weight += [n] * (len(run) + 1)
+    end = len(symbols)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
     counts: Counter[str] = Counter()
-    where: dict[str, set[int]] = defaultdict(set)
-
-    def tally(i: int, sign: int) -> set[str]:
-        text, n = texts[i], runs[i][1] * sign
-        pairs = [text[j : j + 2] for j in range(len(text) - 1)]
-        for pair in pairs:
-            counts[pair] += n
-            where[pair].add(i)
-        return set(pairs)
-
-    for i in range(len(runs)):
-        tally(i, 1)
+    where: dict[str, list[int]] = defaultdict(list)
+    for i in range(end - 1):
+        if symbols[i] and symbols[i + 1]:
+            counts[symbols[i] + symbols[i + 1]] += weight[i]
+            where[symbols[i] + symbols[i + 1]].append(i)
+
+    def replace(pair: str, new: str) -> set[str]:
+        """Merge all occurrences from left to right; returns the pairs that are new."""
+        touched: set[str] = set()
+        for i in sorted(set(where.pop(pair))):
+            j = after[i]
+            if symbols[i] != pair[0] or symbols[j] != pair[1]:
+                continue
+            n, x, y = weight[i], before[i], after[j]
+            left, right = symbols[x] if x >= 0 else "", symbols[y]
+            counts[pair] -= n
+            if left:
+                counts[left + pair[0]] -= n
+            if right:
+                counts[pair[1] + right] -= n
+            symbols[i], symbols[j], after[i], before[y] = new, None, y, i
+            for place, made in ((x, left and left + new), (i, right and new + right)):
+                if made:
+                    counts[made] += n
+                    where[made].append(place)
+                    touched.add(made)
+        return touched
+
     heap = [(-n, pair) for pair, n in counts.items() if (-n, pair) <= last]
     heapify(heap)
     accepted: list[tuple[str, str]] = []
@@ -202,12 +250,7 @@ def certain_merges(
         accepted.append((pair, new))
         if seen:
             break
-        touched: set[str] = set()
-        for i in where.pop(pair):
-            tally(i, -1)
-            texts[i] = texts[i].replace(pair, new)
-            touched |= {p for p in tally(i, 1) if new in p}
-        for p in touched:
+        for p in replace(pair, new):
             if (-counts[p], p) <= last:
                 heappush(heap, (-counts[p], p))
     return accepted

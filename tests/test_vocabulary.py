@@ -168,3 +168,31 @@ def test_nothing_to_learn(spark):
     trained = train_vocabulary(spark_words(spark, {"▁": 3}), VocabConfig(20, 2, 500))
     assert trained.merges.count() == 0
     assert [r["token"] for r in trained.vocab.orderBy("id").collect()] == ["<unk>", "▁", "<s>", "</s>", "<pad>"]
+
+
+def test_long_words_are_rewritten_alike(spark, monkeypatch):
+    """Positions and plain replacement give the same words."""
+    source = random.Random(3)
+    words = ["".join(source.choices([symbol(i) for i in range(1, 5)], k=source.randint(2, 90))) for _ in range(300)]
+    tokens = Tokens(["a", "b", "c", "d"])
+    merges = certain_merges([(w, 1) for w in words], (-1, END_OF_SYMBOLS), tokens, 400)
+    assert len(merges) > vocabulary.MERGES_BY_BATCH
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = [r[0] for r in df.coalesce(1).select(vocabulary.merged(F.col("word"), merges)).collect()]
+    want = []
+    for w in words:
+        for pair, new in merges:
+            w = w.replace(pair, new)
+        want.append(w)
+    assert got == want
+
+
+def test_a_long_mixed_word_trains_in_seconds(spark):
+    import time
+
+    source = random.Random(4)
+    word = "".join(source.choices("abcdefghijklmnopqrstuvwxyz0123456789", weights=range(1, 37), k=100_000))
+    start = time.monotonic()
+    trained = train_vocabulary(spark.createDataFrame([(word, 1), ("abc", 3)], "word string, n bigint"), VocabConfig(vocab_size=1_500, min_frequency=2))
+    assert trained.vocab.count() == 1_503
+    assert time.monotonic() - start < 90
