@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananym.llm.common import byte_slices, components, hash_words, mix64, prepare_session, split_words, windows, written
+from ananym.llm.common import byte_slices, components, hash_words, local_roots, mix64, prepare_session, split_words, windows, written
 
 SHINGLE = 5
 LEAST = 0.8
 SLOTS = 96
 BAND = 4
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Most documents and bytes of one side of a block in which all pairs are compared.
+BLOCK_DOCUMENTS = 2048
+BLOCK_BYTES = 8 << 20
+BLOCK_COLUMNS = 2048
 #: Expected misses of a slot before the time limit: e^-6 per document; those documents go on with a doubled limit.
 MARGIN = 6.0
 _BASE = 0xA0761D6478BD642F
@@ -111,16 +115,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], bands], names=["id", "h1", "h2", "bands"])
 
 
+def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle multisets as sets, one after another, and where each text's begins: the k-th occurrence of a shingle is an element of its own."""
+    _, found, times, bounds = shingles(texts)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    ends = np.concatenate(([0], np.cumsum(times)))
+    return mix64(np.repeat(found, times) + nth.astype(np.uint64) * _LEVEL), ends[bounds]
+
+
 def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle multisets of two columns of texts, row by row."""
-    sides = []
-    for texts in (left, right):
-        _, found, times, bounds = shingles(texts)
-        # The k-th occurrence of a shingle is an element of its own, so that multisets become sets.
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        ends = np.concatenate(([0], np.cumsum(times)))
-        sides.append((mix64(np.repeat(found, times) + nth.astype(np.uint64) * _LEVEL), ends[bounds]))
-    (x, xs), (y, ys) = sides
+    (x, xs), (y, ys) = elements(left), elements(right)
     out = np.zeros(len(left))
     for i in range(len(left)):
         a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
@@ -131,6 +136,67 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def block_overlap(texts: pa.Array, side: np.ndarray) -> np.ndarray:
+    """Similarities between the texts where ``side`` is false (rows) and true (columns), through products of 0/1 matrices."""
+    found, starts = elements(texts)
+    size = np.diff(starts)
+    row = np.repeat(np.arange(len(size)), size)
+    _, column, times = np.unique(found, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, (low, low + BLOCK_COLUMNS))
+        part = np.zeros((len(size), BLOCK_COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part[left] @ part[right].T
+    return both / np.maximum(size[left][:, None] + size[right][None, :] - both, 1)
+
+
+def _block_links(least: float):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block. Links between members with different roots are told as a spanning tree."""
+        current, held = None, []
+
+        def linked():
+            block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids, roots, low, high, own = (np.asarray(block.column(c)).astype(np.int64) for c in ("id", "root", "low", "high", "own"))
+            texts = block.column("text")
+            if low[0] == high[0]:
+                n = len(ids)
+                likeness = block_overlap(pa.concat_arrays([texts, texts]), np.repeat([False, True], n))
+                left = right = np.arange(n)
+            else:
+                likeness = block_overlap(texts, own == high)
+                left, right = np.flatnonzero(own != high), np.flatnonzero(own == high)
+            a, b = np.nonzero(likeness >= least)
+            a, b = left[a], right[b]
+            differ = roots[a] != roots[b]
+            a, b = a[differ], b[differ]
+            tree = local_roots(a, b, len(ids))
+            moved = np.flatnonzero(tree != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[tree[moved]])], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "low", "high")], axis=1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))):
+                if begin == end:
+                    continue
+                if tuple(keys[begin]) != current:
+                    if held:
+                        yield linked()
+                    current, held = tuple(keys[begin]), []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield linked()
+
+    return found
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts overlap enough."""
 
@@ -146,14 +212,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(kept, "a long, b long").distinct()
 
 
+def _compared(inside: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between members of a band with different roots: blocks of the band meet each other, no pair is listed."""
+    lengths = texts.select("id", F.octet_length("text").alias("bytes"))
+    sizes = inside.join(lengths, "id").groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("n") / BLOCK_DOCUMENTS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int").alias("chunks")
+    sizes = written(sizes.select("band", chunks), "bag-blocks")
+    own = F.pmod(F.xxhash64("id"), "chunks").cast("int")
+    dealt = inside.join(sizes.hint("merge"), "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("band", "id", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    blocks = dealt.join(texts.hint("merge"), "id").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
+    return blocks.mapInArrow(_block_links(least), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Groups of documents linked by a weighted Jaccard similarity of at least ``least`` between their shingle multisets.
 
     Equal texts are one class, represented by its least key. Classes that share a band of the signature are
-    candidates. Within a band, everybody is first compared with a leader (another one in each of three rounds); links join
-    into components. Only in bands that still hold several components are members of different components
-    compared with each other, all of them. So a band of thousands of copies costs few comparisons, and no link between
-    components is left out.
+    candidates. Within a band, everybody is first compared with a leader (another one in each of two rounds); links join
+    into components. In bands that still hold several components all members meet in bounded blocks, where members of different components
+    are compared by matrix products; tasks return spanning trees, never pairs. So a band of thousands of copies costs
+    few comparisons of texts, and no link between components is left out.
 
     Returns one row per document: ``key``, ``class_id`` (least key with an equal text), ``component_id`` (least key that
     links reach) and ``kept`` (it is that key), with ``h1, h2`` (hashes of its text). Null texts and those without words are no duplicates of
@@ -177,22 +256,20 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
     links = tried = None
     for turn in range(LEADER_ROUNDS + 1):
         grouped = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = grouped.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("leader")).where("low < high")
+        leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("leader")
+        mixed = grouped.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), leader).where("least < most")
         mixed = written(mixed.select("band", "leader"), "bag-mixed")
         if mixed.isEmpty():
             break
+        inside = grouped.join(mixed.hint("merge"), "band")
         if turn < LEADER_ROUNDS:
-            met = grouped.join(mixed.hint("merge"), "band").where(F.col("root") != F.col("leader.root")).select(F.col("id").alias("x"), F.col("leader.id").alias("y"))
+            met = inside.where(F.col("root") != F.col("leader.root"))
+            pairs = met.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
+            pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "bag-pairs")
+            tried = pairs if tried is None else tried.union(pairs)
+            found = written(_verified(pairs, texts, least), "bag-links")
         else:
-            inside = grouped.join(mixed.select("band").hint("merge"), "band", "left_semi")
-            other = inside.select("band", F.col("id").alias("y"), F.col("root").alias("root_y"))
-            met = inside.join(other.hint("merge"), "band").where((F.col("id") < F.col("y")) & (F.col("root") != F.col("root_y"))).select(F.col("id").alias("x"), "y")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "bag-pairs")
-        if pairs.isEmpty():
-            continue
-        found = written(_verified(pairs, texts, least), "bag-links")
-        tried = pairs if tried is None else tried.union(pairs)
+            found = written(_compared(written(inside.drop("leader"), "bag-inside"), texts, least), "bag-links")
         links = found if links is None else links.union(found)
         roots = components(links, "bag-groups")
 

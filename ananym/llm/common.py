@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ananym.session import scratch_path
@@ -188,6 +188,20 @@ def signed(x: np.ndarray) -> pa.Array:
 # --- connected components -------------------------------------------------------------------------
 
 
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number in each node's component, for links between 0..n-1."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], least)
+        np.minimum.at(after, root[b], least)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of an undirected graph given as ``a``, ``b``: root is the smallest node that links reach.
 
@@ -210,7 +224,3 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         roots = after
         if not changed:
             return roots
-
-
-def utf8_bytes(text: str | Column) -> Column:
-    return F.octet_length(text)

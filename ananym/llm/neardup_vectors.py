@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananym.llm.common import components, mix64, prepare_session, signed, written
+from ananym.llm.common import components, local_roots, mix64, prepare_session, signed, written
 
 #: Per table a pair at the least cosine (0.98, 64 components) meets with probability 0.83; over all tables it is missed
 #: once in 40 million pairs.
@@ -76,20 +76,6 @@ def signatures(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least number in each node's component, for links between 0..n-1."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        after = root.copy()
-        np.minimum.at(after, root[a], least)
-        np.minimum.at(after, root[b], least)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def _classes(vectors: DataFrame, vector: str, key: str, label: str) -> DataFrame:
     """Rows with their usable vector as doubles and a key of equal vectors; unusable rows have a null key."""
     doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
