@@ -326,9 +326,14 @@ def decoded_without_special(spark, sf):
 
 
 def special_matched(spark, sf):
-    """Each document with a literal end token before and after it."""
-    texts = reversed_documents(spark, sf).withColumn("text", F.concat(F.lit("</s>"), "text", F.lit("</s>")))
-    return ids_as_text(encode(texts, vocabulary(spark, sf), match_special=True))
+    """Literal special tokens of all kinds at the ends of each document and between its halves, cut at a space."""
+    texts = reversed_documents(spark, sf)
+    middle = F.expr("locate(' ', text, cast(floor(length(text) / 2) AS int) + 1)")
+    tail = F.when(F.col("middle") > 0, F.expr("substring(text, middle)")).otherwise(F.lit(""))
+    texts = texts.withColumn("middle", middle)
+    head = F.when(F.col("middle") > 0, F.expr("substring(text, 1, middle - 1)")).otherwise(F.col("text"))
+    marked = F.concat(F.lit("</s>"), head, F.lit("<unk><pad>"), tail, F.lit("<s>"))
+    return ids_as_text(encode(texts.withColumn("text", marked), vocabulary(spark, sf), match_special=True))
 
 
 def stored_forward(spark, sf):
@@ -722,9 +727,26 @@ FROM vocab"""
         "bpe_encode": _trained_sql(_ENCODED + _IDS),
         "bpe_encode_by_word": _trained_sql(_ENCODED + _IDS),
         "bpe_encode_forward": _trained_sql(_ENCODED + _IDS),
+        # The cut goes before a space, which the second half loses again as its leading space; so the words stay as they
+        # are and only their places tell the halves apart.
         "bpe_encode_special": _trained_sql(
-            _ENCODED
-            + ", framed AS (SELECT doc_id, list_concat([len(toks) + 1], ids, [len(toks) + 1]) AS ids FROM encoded, toks) "
+            """
+, halves AS (
+  SELECT doc_id, text, instr(substr(text, (length(text) // 2 + 1)::INT), ' ') AS found, length(text) // 2 AS half FROM documents_reversed
+),
+cuts AS (
+  SELECT doc_id, CASE WHEN found > 0 THEN len(string_split(substr(text, 1, (half + found - 1)::INT), ' ')) - starts_with(text, ' ')::INT ELSE NULL END AS n
+  FROM halves
+),
+sides AS (
+  SELECT doc_id, flatten(coalesce(list(ids ORDER BY i) FILTER (n IS NULL OR i <= n), [])) AS head,
+         flatten(coalesce(list(ids ORDER BY i) FILTER (i > n), [])) AS tail
+  FROM placed JOIN final USING (w) JOIN cuts USING (doc_id) GROUP BY doc_id
+),
+framed AS (
+  SELECT doc_id, flatten([[len(toks) + 1], head, [0, len(toks) + 2], tail, [len(toks)]]) AS ids FROM sides, toks
+)
+""".replace("documents_reversed", "(SELECT doc_id, reverse(text) AS text FROM documents)")
             + _IDS.replace("FROM encoded", "FROM framed")
         ),
         "bpe_encode_probes": _trained_sql(

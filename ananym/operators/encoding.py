@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ananym.config import REVERSED, SPECIAL_TOKENS, UNK, WORD_MARK
-from ananym.functions.text import nfkc, special_segments, words
+from ananym.functions.text import may_change_under_nfkc, nfkc, special_segments, words
 from ananym.operators.order import nth_in_order, up_to
 from ananym.operators.rows import require_orientation, reverse_rows
 from ananym.operators.vocabulary import MAX_VOCAB, Vocabulary
@@ -109,7 +110,9 @@ def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFra
     """Encode each distinct word once, then put the ids back where the words stood.
 
     Frequent words, which make up most of a corpus, are a bounded table and joined by broadcast where
-    the text is; only rare words are shuffled to their ids, so no key of that join is hot.
+    the text is; only rare and long words are shuffled to their ids. Both sides of that join are shuffled as they
+    are, so that Spark can split a long word that is frequent. ``by_document`` needs none of this and is the better
+    choice unless words are very costly to encode.
     """
     placed = _placed_words(df, keep, first_words, match_special)
     counted = placed.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
@@ -136,6 +139,8 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
     table = merge_table(vocabulary)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
+    literal = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         token_ids, pairs = shared.value
@@ -143,7 +148,15 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
 
         def ids_of(text: str | None) -> np.ndarray:
             out: list[int] = []
-            text = unicodedata.normalize("NFKC", text) if text else ""
+            for segment in literal.split(text) if match_special and text else [text or ""]:
+                if match_special and segment in SPECIAL_TOKENS:
+                    out.append(token_ids[segment])
+                else:
+                    add_words(segment, out)
+            return np.array(out, dtype=np.int32)
+
+        def add_words(text: str, out: list[int]) -> None:
+            text = unicodedata.normalize("NFKC", text)
             pieces = text.replace(WORD_MARK, " ").split(" ") if text else []
             if len(pieces) > 1 and not pieces[0]:
                 del pieces[0]
@@ -156,25 +169,17 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
                             seen.clear()
                         seen[piece] = ids
                 out += ids
-            return np.array(out, dtype=np.int32)
 
         for batch in batches:
             yield batch.map(ids_of)
 
     # Keeps the optimiser from copying the call into every later use of the ids.
     encode = encode.asNondeterministic()
-    if not match_special:
-        return df.select(*keep, encode("text").alias("input_ids"))
-    parts = df.select(*keep, F.posexplode_outer(special_segments(F.col("text"))).alias("part", "segment"))
-    special = F.col("segment").isin(*SPECIAL_TOKENS)
-    fixed = F.create_map(*[F.lit(x) for t in SPECIAL_TOKENS for x in (t, table[0][t])])
-    ids = F.when(special, F.array(fixed[F.col("segment")])).otherwise(encode(F.when(~special, F.col("segment"))))
-    ordered = F.array_sort(F.collect_list(F.struct("part", "ids")))
-    return (
-        parts.select(*keep, "part", ids.alias("ids"))
-        .groupBy(*keep)
-        .agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("input_ids"))
-    )
+    text = F.col("text")
+    if first_words is not None:
+        # Normalising may add spaces but takes none away, and a part that ends before a space normalises alone.
+        text = F.substring_index(text, " ", first_words + 2)
+    return df.select(*keep, encode(text).alias("input_ids"))
 
 
 def encode(
@@ -202,9 +207,11 @@ def reverse_and_encode(df: DataFrame, vocabulary: Vocabulary, **options) -> Data
 
 
 def may_fill_context(text: Column, context_length: int) -> Column:
-    """False for texts too short to give ``context_length`` tokens: each token covers a character or the first mark."""
-    short = F.when(F.length(text) + 1 < context_length, text)
-    return short.isNull() | (F.length(nfkc(short)) + 1 >= context_length)
+    """False for texts surely too short to give ``context_length`` tokens: each token covers a character or the first mark.
+
+    Normalising may lengthen a text; those it may change are let through.
+    """
+    return text.isNotNull() & ((F.length(text) + 1 >= context_length) | may_change_under_nfkc(text))
 
 
 def spellings(vocabulary: Vocabulary) -> Column:
