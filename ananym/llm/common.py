@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ananym.session import scratch_path
@@ -55,23 +55,32 @@ def _bucket_offsets(sums: DataFrame, by: list[str], n_buckets: int) -> DataFrame
     return inside.join(upper, [*by, "__c"]).select(*by, "__b", (F.col("__offset") + F.col("__base")).alias("__offset"))
 
 
+def hash_order(column: Column) -> Column:
+    """The first 60 bits of a column's md5 as a number: a repeatable random order that any engine can rebuild."""
+    digest = F.md5(F.coalesce(column.cast("string"), F.lit("")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, n_rows: int, out: str) -> DataFrame:
-    """Add ``out``: the total of ``value`` over the rows before this one, in hash order of ``order`` within ``by``.
+    """Add ``out``: the total of ``value`` over the rows before this one, in the order of ``order`` within ``by``.
 
-    ``by`` columns must not be null. Rows fall into about ``n_rows / 256`` buckets by hash; totals of buckets are
-    summed up level by level, and only rows of one bucket and one ``by`` are ranked together. So neither a hot
-    ``by`` value nor the whole table meets in one task. Rows equal in all of ``order`` are interchangeable.
+    The first order column is an evenly spread number of 60 bits (``hash_order``); ``by`` columns must not be null. Rows fall
+    into about ``n_rows / 256`` ranges of that number; totals of ranges are summed up level by level, and only rows of one range and
+    one ``by`` are ranked together. So neither a hot ``by`` value nor the whole table meets in one task. Rows equal
+    in all of ``order`` are interchangeable.
     """
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
-    hashed = df.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("long"))
+    # The number's upper 32 bits times the count of ranges stay within 63 bits.
+    bucket = F.shiftright(F.shiftright(order[0], 28) * F.lit(buckets).cast("long"), 32)
+    hashed = df.withColumn("__b", bucket.cast("long"))
     sums = hashed.groupBy(*by, "__b").agg(F.sum(value).alias("__sum"))
     offsets = _bucket_offsets(sums, by, buckets)
-    inside = Window.partitionBy(*by, "__b").orderBy("__h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return (
         hashed.join(offsets.hint("merge"), [*by, "__b"])
         .withColumn(out, (F.col("__offset") + earlier).cast("long"))
-        .drop("__h", "__b", "__offset")
+        .drop("__b", "__offset")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ananym.llm.common import WORD, prepare_session, running_totals, written
+from ananym.llm.common import WORD, hash_order, prepare_session, running_totals, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -74,7 +74,7 @@ def curriculum(
 ) -> DataFrame:
     """Training positions of every document.
 
-    Every source stands in a repeatable hash order and is read from its start, again from the start when it ends. Its
+    Every source stands in the order of its keys' md5 and is read from its start, again from the start when it ends. Its
     weight over time, integrated, is the demand for its words: a document copy begins when that demand reaches the words
     before it. A copy is taken if its middle lies below the source's target, so that what is taken differs from the
     target by half a document at most, and no document is taken more than twice.
@@ -85,7 +85,7 @@ def curriculum(
     """
     spark = docs.sparkSession
     prepare_session(spark)
-    wanted = docs.select(F.xxhash64(key, source).alias("__id"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"), source_key(source).alias("__key"), *keep)
+    wanted = docs.select(hash_order(F.col(key)).alias("__id"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"), source_key(source).alias("__key"), *keep)
     sized = written(wanted, "mix-sizes")
     targets = written(source_targets(sized, weights, share), "mix-targets")
     placed = running_totals(sized, ["__key"], ["__id", "__size", *keep], "__size", sized.count(), "__before")

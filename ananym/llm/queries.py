@@ -29,7 +29,7 @@ def op1_mixing(spark, sf):
     placed = mixing.curriculum(_table(spark, sf, "documents"), mixing.word_count(), ["doc_id"])
     placed = placed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
     ordered = placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
-    return ordered.drop("positions")
+    return ordered.drop("positions", "first_position")
 
 
 def op2_neardup_vectors(spark, sf):
@@ -112,5 +112,60 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
 
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_OP1 = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS place
+  FROM documents
+),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sized GROUP BY source
+),
+levels AS (SELECT *, 2 * source_size / weight AS level FROM sources),
+reached AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach
+  FROM levels
+),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN level <= reach THEN (2 * source_size)::DOUBLE
+              ELSE weight * (SELECT reach FROM reached WHERE level > reach ORDER BY level, source NULLS LAST LIMIT 1) END AS target
+  FROM reached
+),
+placed AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM sized
+)
+SELECT doc_id, size, source_size, target,
+       (size * ((before + size / 2 < target)::INT + (source_size + before + size / 2 < target)::INT))::BIGINT AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source"""
+_OP4 = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+windows AS (SELECT doc_id, s, list_slice(w, s, s + 19) AS words FROM texts, unnest(generate_series(1, len(w) - 19)) AS g(s) WHERE len(w) >= 20),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM later, range(20) AS r(i)),
+removed AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM texts LEFT JOIN removed USING (doc_id)"""
+_OP8 = f"""
+WITH RECURSIVE classes AS (SELECT text, min(doc_id) AS id, any_value(regexp_extract_all(text, {_WORD})) AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+shingles AS MATERIALIZED (
+  SELECT id, shingle, count(*) AS n FROM (
+    SELECT id, array_to_string(list_slice(w, s, s + 4), ' ') AS shingle FROM classes, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(s) WHERE len(w) > 0
+  ) GROUP BY id, shingle
+),
+sizes AS (SELECT id, sum(n) AS n FROM shingles GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS n FROM shingles AS a JOIN shingles AS b ON a.shingle = b.shingle AND a.id <> b.id GROUP BY a.id, b.id),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes AS x ON x.id = a JOIN sizes AS y ON y.id = b WHERE shared.n >= 0.8 * (x.n + y.n - shared.n)
+),
+reached AS (SELECT a AS node, a AS root FROM links UNION SELECT links.b, root FROM reached JOIN links ON a = node),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT doc_id, coalesce(id, doc_id) AS class_id, coalesce(root, id, doc_id) AS component_id, coalesce(root, id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN classes USING (text) LEFT JOIN roots ON id = node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup_vectors": _OP2, "op6_topk": _OP6}
+    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8}

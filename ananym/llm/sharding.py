@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ananym.llm.common import mix64, prepare_session, running_totals, written
+from ananym.llm.common import hash_order, mix64, prepare_session, running_totals, written
 
 ROUNDS = 6
 LAW = "rows"
@@ -58,7 +58,7 @@ def shard_rows(docs: DataFrame, n_shards: int, seed: int = 0, text: str = "text"
     prepare_session(docs.sparkSession)
     keep = keep or [key]
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(key).alias("__id"), (F.octet_length(content) + 16).cast("long").alias("__size"), F.crc32(content).alias("__crc"), F.lit(1).alias("__one"), *keep)
+    rows = docs.select(hash_order(F.col(key)).alias("__id"), (F.octet_length(content) + 16).cast("long").alias("__size"), F.crc32(content).alias("__crc"), F.lit(1).alias("__one"), *keep)
     rows = written(rows, "shard-rows")
     n = rows.count()
     numbered = running_totals(rows, [], ["__id", "__crc", "__size", *keep], "__one", n, "__number")
