@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES_PER_CORE = 64 << 20
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, named by the cluster in ``spark.checkpoint.dir``.
@@ -37,18 +35,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for a file scan this is the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input one partition per core before CPU-heavy work.
+    """Deal an input that arrives in fewer partitions than there are cores to all cores, before CPU-heavy work.
 
-    Inputs of more than 64 MB per core already scan as many tasks and are returned unchanged, so at
-    scale this adds no shuffle.
+    That is a small table, or files that cannot be split. Any other input already scans as enough tasks and is returned
+    unchanged, so at scale this adds no shuffle. The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores == 1 or estimated_bytes(df) > SPREAD_BYTES_PER_CORE * cores:
-        return df
-    return df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -65,14 +65,12 @@ def test_shared_folder_comes_from_the_session(spark, docs):
     assert sorted(stored(docs, "t").collect()) == sorted(docs.collect())
 
 
-def test_spread_only_small_inputs(spark, docs, monkeypatch, tmp_path):
-    from ananym import session
-
+def test_spread_only_inputs_of_few_partitions(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "d"))
     df = read_corpus(spark, str(tmp_path / "d"))
     assert "Exchange" in spread(df, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(session, "SPREAD_BYTES_PER_CORE", 0)
-    assert "Exchange" not in spread(df, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    many = docs.repartition(6)
+    assert spread(many, "doc_id") is many
 
 
 LOG = """start

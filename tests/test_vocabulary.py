@@ -124,7 +124,7 @@ def corpus(spark):
     return docs.repartition(4, "doc_id").persist()
 
 
-@pytest.mark.parametrize("cap,least,letters", [(2500, 5, 500), (400, 5, 40)])
+@pytest.mark.parametrize("cap,least,letters", [(2500, 5, 500), (400, 5, 40), (52_000, 5, 500)])
 def test_same_as_public_tokenizer_library(spark, corpus, cap, least, letters):
     tokenizers = pytest.importorskip("tokenizers")
     trained = train_vocabulary(word_counts(corpus), VocabConfig(cap, least, letters))
