@@ -147,11 +147,16 @@ def top_inner_products(vectors: DataFrame, is_query: Column, scale: int = 1024,
 
     # An id asks once: among several rows the least vector does.
     queries = index.where("asks").groupBy("id").agg(F.min(F.struct("vector", "norm", "distances")).alias("own")).select("id", "own.*")
+    # At most PIVOTS * RINGS rings: they are written into the plan, and each query lists them with their bounds.
+    known = rings.orderBy("cell").collect()
+    fields = ("pivot", "cell", "parts", "inner", "outer", "longest")
+    listed = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in known])
+    each = queries.select("id", "norm", "distances", F.explode(listed).alias("ring")).select("id", "norm", "distances", "ring.*")
     away = F.element_at("distances", F.col("pivot") + 1)
     gap = F.greatest(F.lit(0.0), F.col("inner") - away, away - F.col("outer"))
     # Half a unit more than any rounding of the bound.
     bound = (F.col("norm") ** 2 + F.col("longest") ** 2 - gap * gap) / 2 + 0.5
-    plan = queries.crossJoin(F.broadcast(rings)).select("id", "cell", "parts", bound.alias("bound"))
+    plan = each.select("id", "cell", "parts", bound.alias("bound"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bound"), "cell"))
     plan = written(plan.withColumn("nth", nth), "search-plan")
     points_side = placed.select("id", "vector", "cell").join(F.broadcast(rings.select("cell", "parts")), "cell")
