@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, n
 
 def byte_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text stands alone."""
-    sizes = np.asarray(texts.value_lengths().fill_null(0) if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
@@ -101,7 +102,7 @@ def byte_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an array of texts, one after another, and where each text starts (one more at the end)."""
-    texts = pa.compute.fill_null(texts.cast(pa.string()), "")
+    texts = pc.fill_null(texts.cast(pa.string()), "")
     texts = pa.concat_arrays([texts])
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
