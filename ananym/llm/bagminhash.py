@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ananym.llm.common import byte_slices, components, hash_words, local_roots, mix64, prepare_session, split_words, windows, written
@@ -225,6 +225,12 @@ def _compared(inside: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return blocks.mapInArrow(_block_links(least), "a long, b long").distinct()
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, in which null isn't the empty text."""
+    content = F.coalesce(text, F.lit(""))
+    return F.when(text.isNull(), F.xxhash64(content, F.lit(1))).otherwise(F.xxhash64(content)), F.hash(content)
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Groups of documents linked by a weighted Jaccard similarity of at least ``least`` between their shingle multisets.
 
@@ -235,15 +241,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
     few comparisons of texts, and no link between components is left out.
 
     Returns one row per document: ``key``, ``class_id`` (least key with an equal text), ``component_id`` (least key that
-    links reach) and ``kept`` (it is that key), with ``h1, h2`` (hashes of its text). Null texts and those without words are no duplicates of
-    anything; null keys neither, and they are kept. Texts of fewer than five words count as one shingle. Rows with one key count as one
+    links reach) and ``kept`` (it is that key), with ``h1, h2`` (hashes of its text). Null texts are no duplicates of anything, null keys
+    neither, and they are kept. Texts without words are duplicates of equal texts only. Texts of fewer than five words count as one shingle. Rows with one key count as one
     document when groups are formed. An empty table gives an empty table.
     """
     prepare_session(docs.sparkSession)
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(content).alias("h1"), F.hash(content).alias("h2"), content.alias("text"))
-    known = rows.where(F.col("id").isNotNull())
-    signed = written(known.mapInArrow(_bands, "id long, h1 long, h2 int, bands array<long>"), "bag-bands").where("bands IS NOT NULL")
+    h1, h2 = _text_hashes(F.col(text))
+    rows = docs.select(F.col(key).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
+    known = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    signed = written(known.mapInArrow(_bands, "id long, h1 long, h2 int, bands array<long>"), "bag-bands")
     classes = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "bag-classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
     busy = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
@@ -283,9 +289,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
 def deduplicate(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group, the one with the least key; rows that repeat in key and text become one row."""
     # All columns travel in one struct, so that no name of theirs can clash.
-    content = F.coalesce(F.col(text), F.lit(""))
+    h1, h2 = _text_hashes(F.col(text))
     names = ["__id", "__h1", "__h2"]
-    rows = docs.select(F.struct("*").alias("__row"), F.col(key).cast("long").alias("__id"), F.xxhash64(content).alias("__h1"), F.hash(content).alias("__h2"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(key).cast("long").alias("__id"), h1.alias("__h1"), h2.alias("__h2"))
     found = written(near_duplicates(docs, least, text, key), "bag-decisions").withColumnsRenamed({key: "__id", "h1": "__h1", "h2": "__h2"})
     gone = found.where(~F.col("kept")).select(names).distinct()
     twice = found.where(F.col("kept") & F.col("__id").isNotNull()).groupBy(names).count().where("count > 1").select(names)
