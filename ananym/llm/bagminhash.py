@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
     busy = written(busy, "bag-busy")  # a table of its own, so that Spark can split a hot band of the join
     members = written(banded.join(busy.hint("merge"), "band").distinct(), "bag-members")
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2")
-    texts = written(known.join(wanted.hint("merge"), ["id", "h1", "h2"]).select("id", "text"), "bag-texts")
+    # One row per class, whatever the times a row repeats; map tasks already leave one of their own.
+    single = known.dropDuplicates(["id", "h1", "h2"])
+    texts = written(single.join(wanted.hint("merge"), ["id", "h1", "h2"]).select("id", "text"), "bag-texts")
 
     roots = members.select(F.col("id").alias("node"), F.col("id").alias("root")).distinct()
     links = tried = None

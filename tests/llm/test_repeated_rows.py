@@ -25,3 +25,19 @@ def test_null_and_empty_text_of_one_key(spark):
     docs = spark.createDataFrame([(1, ""), (2, ""), (2, None), (2, None)], "doc_id long, text string")
     left = [(r["doc_id"], r["text"]) for r in bagminhash.deduplicate(docs).orderBy("doc_id").collect()]
     assert left == [(1, ""), (2, None)]
+
+
+def test_texts_are_held_once_per_class(spark, monkeypatch):
+    rows = [(1, "a text of some words that stands here")] * 40 + [(2, "a text of some words that stands here too")] * 30
+    held = {}
+    plain = bagminhash.written
+
+    def watched(df, label):
+        out = plain(df, label)
+        held.setdefault(label, out)
+        return out
+
+    monkeypatch.setattr(bagminhash, "written", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert bagminhash.near_duplicates(docs, 0.5).where("component_id = 1").count() == 70
+    assert held["bag-texts"].count() == 2
