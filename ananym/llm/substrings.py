@@ -151,8 +151,18 @@ def _edge_windows(docs: DataFrame, places: DataFrame, span: int) -> DataFrame:
     return picked.select("__d", "__t", "__text", "__cells").mapInArrow(found, "anchor long, word long, d long, t long, start int")
 
 
+def _distinct(docs: DataFrame) -> DataFrame:
+    """One row per ``__d, __t``; only texts of rows that repeat are moved."""
+    names = ["__d", "__t"]
+    docs = docs.select(*names, "__text")
+    twice = written(docs.groupBy(names).count().where("count > 1").select(names), "passage-twice")
+    once = docs.join(twice, names, "left_anti")
+    return once.unionByName(docs.join(twice, names, "left_semi").dropDuplicates(names))
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Word ranges ``d, t, begin, end`` whose windows all start earlier as well."""
+    """Word ranges ``d, t, begin, end`` whose windows all start earlier as well; rows equal in ``__d`` and ``__t`` are one document."""
+    docs = _distinct(docs)
     cells = written(_cells(docs.select("__d", "__t", "__text"), span), "passage-cells")
     # Written tables on both sides of a join let Spark split a hot key.
     anchors = cells.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("cell") != F.max("cell")).alias("mixed")).where("times > 1")
@@ -183,7 +193,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
     keep = keep or [key]
     schema = StructType([docs.schema[c] for c in keep]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     spans = repeated_spans(_document_key(docs, key, text), span)
-    merged = written(spans.groupBy("d", "t").agg(F.collect_list(F.struct("begin", "end")).alias("__spans")), "passage-removals")
+    merged = written(spans.groupBy("d", "t").agg(F.collect_set(F.struct("begin", "end")).alias("__spans")), "passage-removals")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+from test_text_operators import plain_removal
 
-from ananym.llm import bagminhash
+from ananym.llm import bagminhash, substrings
 from ananym.llm.queries import oracle_sql, queries
 
 
@@ -41,3 +44,26 @@ def test_texts_are_held_once_per_class(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert bagminhash.near_duplicates(docs, 0.5).where("component_id = 1").count() == 70
     assert held["bag-texts"].count() == 2
+
+
+def test_cells_of_equal_rows_are_searched_once(spark, monkeypatch, words):
+    source = random.Random(3)
+    passage = " ".join(source.choices(words, k=60))
+    rows = [(None, f"{passage} one")] * 50 + [(1, f"two {passage}")] * 30 + [(2, f"three {passage}"), (2, f"four {passage}")]
+    held = {}
+    plain = substrings.written
+
+    def watched(df, label):
+        out = plain(df, label)
+        held.setdefault(label, out)
+        return out
+
+    monkeypatch.setattr(substrings, "written", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = substrings.remove_repeats(docs, keep=["doc_id", "text"]).collect()
+    cells = held["passage-cells"]
+    assert cells.count() == cells.select("d", "t", "nth").distinct().count()
+    want = plain_removal(rows[:-2], 20)
+    assert len(out) == 82
+    assert all(r["kept"].split() == want[r["doc_id"], r["text"]] for r in out if r["doc_id"] != 2)
+    assert all(r["n_removed"] == 60 for r in out if r["doc_id"] == 2)
