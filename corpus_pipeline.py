@@ -28,7 +28,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document copies that the curriculum takes, in training order."""
+    """The document copies that the curriculum takes. Their table is in training order, which the next scan does not keep."""
     return mixing.mixed(docs)
 
 
