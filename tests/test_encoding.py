@@ -1,7 +1,7 @@
 import unicodedata
 
 import pytest
-from conftest import SF
+from small_tables import SF
 from pyspark.sql import functions as F
 
 from ananym.config import SPECIAL_TOKENS, VocabConfig

@@ -1,22 +1,16 @@
 """Every registered query against its SQL on the smallest tables."""
 
-from pathlib import Path
-
 import pytest
-from conftest import SF
+from small_tables import SF, assert_same_rows, duckdb_tables
 
 import __spark_entry__ as entry
 
 EXTRA = set(entry._training_data("queries"))
-duckdb = pytest.importorskip("duckdb")
 
 
 @pytest.fixture(scope="module")
 def tables():
-    connection = duckdb.connect()
-    for path in Path(SF).glob("*.parquet"):
-        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    return connection
+    return duckdb_tables()
 
 
 def test_entry(spark):
@@ -32,7 +26,4 @@ def test_every_query_has_its_sql():
 def test_query(spark, tables, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = tables.execute(entry.oracle_sql()[name]).df()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    order = [df[columns].astype(str).sort_values(columns).reset_index(drop=True) for df in (got, want)]
-    assert order[0].equals(order[1])
+    assert_same_rows(got, want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import SF
+from small_tables import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import SF
+from small_tables import SF
 from pyspark.sql import functions as F
 
 from ananym.config import VocabConfig
