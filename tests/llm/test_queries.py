@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-import duckdb
 import pytest
-from conftest import SF
+from small_tables import SF, assert_same_rows, duckdb_tables
 
 from ananym.llm.queries import oracle_sql, queries
 
@@ -15,14 +12,8 @@ QUERIES, SQL = queries(), oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
-    tables = duckdb.connect()
-    for path in Path(SF).glob("*.parquet"):
-        tables.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    got, want = QUERIES[name](spark, SF).toPandas(), tables.execute(SQL[name]).df()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    order = [df[columns].astype(str).sort_values(columns).reset_index(drop=True) for df in (got, want)]
-    assert order[0].equals(order[1])
+    got, want = QUERIES[name](spark, SF).toPandas(), duckdb_tables().execute(SQL[name]).df()
+    assert_same_rows(got, want)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
