@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import bagminhash, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
+from ananym.llm import bagminhash, decontamination, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,8 +79,12 @@ def op10_rules(spark, sf):
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_decontamination(spark, sf):
+    return decontamination.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules, "op11_decontamination": op11_decontamination}
 
 
 _OP2 = """
@@ -166,6 +170,30 @@ roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
 SELECT doc_id, coalesce(id, doc_id) AS class_id, coalesce(root, id, doc_id) AS component_id, coalesce(root, id, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN classes USING (text) LEFT JOIN roots ON id = node"""
 
+_OP11 = r"""
+WITH texts AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+),
+windows AS (
+  SELECT id AS item_id, n, list_slice(w, s, s + n - 1) AS words
+  FROM (SELECT id, w, least(len(w), 10) AS n FROM split WHERE kind = 'item' AND len(w) > 0), unnest(generate_series(1, len(w) - n + 1)) AS g(s)
+),
+places AS (
+  SELECT id AS doc_id, s, n, list_slice(w, s, s + n - 1) AS words
+  FROM split JOIN (SELECT DISTINCT n FROM windows) ON kind = 'document' AND len(w) >= n, unnest(generate_series(1, len(w) - n + 1)) AS g(s)
+),
+found AS (SELECT doc_id, s, places.n AS n, item_id FROM places JOIN windows USING (words)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN hit ON id = hit.doc_id LEFT JOIN named ON id = named.doc_id WHERE kind = 'document'"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8}
+    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8, "op11_decontamination": _OP11}
