@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import bagminhash, decontamination, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
+from ananym.llm import bagminhash, centroids, decontamination, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,8 +83,12 @@ def op11_decontamination(spark, sf):
     return decontamination.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op12_centroids(spark, sf):
+    return centroids.cluster(_table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules, "op11_decontamination": op11_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules, "op11_decontamination": op11_decontamination, "op12_centroids": op12_centroids}
 
 
 _OP2 = """
@@ -194,6 +198,34 @@ SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN hit ON id = hit.doc_id LEFT JOIN named ON id = named.doc_id WHERE kind = 'document'"""
 
+_NEAREST = """
+  SELECT id, any_value(q) AS q, min(struct_pack(distance := distance, cluster := cluster)) AS best FROM (
+    SELECT v.id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+    FROM vectors AS v JOIN {centroids} AS c ON true
+  ) GROUP BY id"""
+_MEANS = """
+  SELECT cluster, coalesce(moved.q, c.q) AS q FROM {centroids} AS c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS q FROM (
+      SELECT best.cluster AS cluster, i, sum(q[i]) AS s, count(*) AS n FROM {assigned}, range(1, 65) AS g(i) GROUP BY best.cluster, i
+    ) GROUP BY cluster
+  ) AS moved USING (cluster)"""
+_ROUNDS = "".join(
+    f",\nassigned{i} AS MATERIALIZED ({_NEAREST.format(centroids=f'centroids{i}')}\n)"
+    + (f",\ncentroids{i + 1} AS MATERIALIZED ({_MEANS.format(centroids=f'centroids{i}', assigned=f'assigned{i}')}\n)" if i < 3 else "")
+    for i in range(4)
+)
+_OP12 = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS cluster, q FROM vectors QUALIFY cluster < 16
+){_ROUNDS}
+SELECT vec_id, best.cluster::INT AS cluster, best.distance AS distance, (sum(best.distance) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+       (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(centroids3.q::VARCHAR[], ',')) AS centroid_sha256
+FROM assigned3 JOIN vectors USING (id) JOIN centroids3 ON centroids3.cluster = best.cluster"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8, "op11_decontamination": _OP11}
+    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8, "op11_decontamination": _OP11, "op12_centroids": _OP12}
