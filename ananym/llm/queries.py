@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananym.llm import bagminhash, centroids, decontamination, mixing, neardup_vectors, packing, recurrent, rules, sharding, substrings, topk, toxicity
+from ananym.llm import bagminhash, centroids, decontamination, mixing, neardup_vectors, packing, recurrent, repair, rules, sharding, substrings, topk, toxicity
 
 SHARDS = 40
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,8 +87,12 @@ def op12_centroids(spark, sf):
     return centroids.cluster(_table(spark, sf, "embeddings"))
 
 
+def op13_repair(spark, sf):
+    return repair.repair(_table(spark, sf, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules, "op11_decontamination": op11_decontamination, "op12_centroids": op12_centroids}
+    return {"op1_mixing": op1_mixing, "op2_neardup_vectors": op2_neardup_vectors, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_bagminhash": op8_bagminhash, "op9_recurrent": op9_recurrent, "op10_rules": op10_rules, "op11_decontamination": op11_decontamination, "op12_centroids": op12_centroids, "op13_repair": op13_repair}
 
 
 _OP2 = """
@@ -226,6 +230,71 @@ SELECT vec_id, best.cluster::INT AS cluster, best.distance AS distance, (sum(bes
        (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(centroids3.q::VARCHAR[], ',')) AS centroid_sha256
 FROM assigned3 JOIN vectors USING (id) JOIN centroids3 ON centroids3.cluster = best.cluster"""
 
+_PUT = "struct_pack(cost := {best}.cost + {cost}, audit := {best}.audit || '{edit}', out := CASE WHEN {best}.out = '' THEN '' ELSE {best}.out || chr(10) END || {row})"
+_WANTED = "CASE {state} WHEN 'u' THEN 'assistant' ELSE 'user' END"
+_INSERTED = _PUT.format(best="best", cost=3, edit="I", row=f"{_WANTED.format(state='state')} || ':'")
+_NEXT = "CASE {state} WHEN 'u' THEN 'a' ELSE 'u' END"
+_OP13 = rf"""
+WITH RECURSIVE
+kinds AS (
+  SELECT *, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(string_split(conv_id || ':' || turn, ''), lambda c: ord(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))
+         )) % 20 AS kind
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies(i)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final
+  FROM damaged
+),
+rows AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS initial, CASE WHEN final = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, state, best FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES
+    ('', struct_pack(cost := 0::BIGINT, audit := '', out := '')),
+    ('u', struct_pack(cost := 3::BIGINT, audit := 'I', out := 'user:')),
+    ('a', struct_pack(cost := 6::BIGINT, audit := 'II', out := 'user:' || chr(10) || 'assistant:'))) AS first(state, best)
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT conv_id, i, CASE WHEN again THEN {_NEXT.format(state="state")} ELSE state END AS state,
+           CASE WHEN again THEN {_INSERTED} ELSE best END AS best
+    FROM (
+      SELECT conv_id, i, CASE WHEN once THEN {_NEXT.format(state="state")} ELSE state END AS state, CASE WHEN once THEN {_INSERTED} ELSE best END AS best, once
+      FROM (
+        SELECT ways.conv_id, rows.i AS i,
+               CASE edit WHEN 'D' THEN state WHEN 'R' THEN {_NEXT.format(state="state")} ELSE initial END AS state,
+               CASE edit WHEN 'D' THEN struct_pack(cost := best.cost + 4, audit := best.audit || 'D', out := best.out)
+                         WHEN 'R' THEN {_PUT.format(best="best", cost="3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END", edit="R", row=f"{_WANTED.format(state='state')} || ':' || text")}
+                         ELSE {_PUT.format(best="best", cost="CASE fault WHEN 'truncated' THEN 3 ELSE 0 END", edit="K", row="role || ':' || text")} END AS best
+        FROM ways JOIN rows ON rows.conv_id = ways.conv_id AND rows.i = ways.i + 1, (VALUES ('D'), ('R'), ('K')) AS edits(edit)
+        WHERE edit = 'D' OR fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR state || '>' || initial IN ('>s', '>u', 's>u', 'u>a', 'a>u'))
+      ), (VALUES (false), (true)) AS one(once)
+    ), (VALUES (false), (true)) AS two(again) WHERE once OR NOT again
+  ) GROUP BY conv_id, i, state
+),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+),
+best AS (
+  SELECT ways.conv_id, min(best) AS best FROM ways LEFT JOIN totals USING (conv_id) WHERE ways.i = coalesce(n, 0) AND state IN ('', 'a') GROUP BY ways.conv_id
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+       sha256(best.out) AS repaired_sha256
+FROM best LEFT JOIN totals USING (conv_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8, "op11_decontamination": _OP11, "op12_centroids": _OP12}
+    return {"op1_mixing": _OP1, "op2_neardup_vectors": _OP2, "op4_substrings": _OP4, "op6_topk": _OP6, "op8_bagminhash": _OP8, "op11_decontamination": _OP11, "op12_centroids": _OP12, "op13_repair": _OP13}
