@@ -7,31 +7,25 @@ string replacement and a pair is two neighbouring characters.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from operator import add
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ananym.config import BOS, EOS, PAD, UNK, VocabConfig
-from ananym.operators.words import character_counts, only, pair_counts, top_alphabet
-from ananym.session import scratch_path, spread, stored
+from ananym.operators.pair_index import ID_BITS, SYMBOL_BASE, PairIndex, symbol
+from ananym.operators.words import character_counts, only, top_alphabet
+from ananym.session import spread, stored
 
-# Token id i is written as this code point + i while training; ids stay below 2**20.
-SYMBOL_BASE = 0x10000
-MAX_VOCAB = 1 << 20
+MAX_VOCAB = 1 << ID_BITS
 END_OF_SYMBOLS = chr(0x10FFFF)
 
 # What the driver may hold in one round: pairs, distinct runs of them, and symbols in those runs.
 MAX_PAIRS = 16_384
-MAX_RUNS = 50_000
+MAX_RUNS = 200_000
 MAX_RUN_SYMBOLS = 1_000_000
 FIRST_PAIRS = 64
-MERGES_BY_BATCH = 256
-LONG_WORD = 64
 
 VOCAB_SCHEMA = "id int, token string, is_special boolean"
 MERGES_SCHEMA = "rank int, left string, right string"
@@ -56,89 +50,14 @@ class Vocabulary:
         )
 
 
-def symbol(token_id: int) -> str:
-    return chr(SYMBOL_BASE + token_id)
-
-
 def _as_symbols(word: Column, alphabet: list[str]) -> Column:
     """Words as symbols; characters outside the alphabet are dropped."""
     symbols = "".join(symbol(i + 1) for i in range(len(alphabet)))
     return F.translate(only(word, alphabet), "".join(alphabet), symbols)
 
 
-def merged(word: Column, merges: list[tuple[str, str]]) -> Column:
-    """Apply merges one after the other, each left to right and without overlaps, as replacement does.
-
-    A few merges are made on a whole batch of words at once, joined by a separator that is no symbol. With
-    many, each word looks up only those that it contains.
-    """
-    rank = {pair: i for i, (pair, _) in enumerate(merges)}
-
-    def rewrite(symbols: str) -> str:
-        if len(symbols) > LONG_WORD:
-            return rewrite_long(symbols)
-        done = -1
-        while True:
-            found = [rank[p] for p in map(add, symbols, symbols[1:]) if p in rank]
-            ahead = [r for r in found if r > done]
-            if not ahead:
-                return symbols
-            done = min(ahead)
-            symbols = symbols.replace(*merges[done])
-
-    def rewrite_long(symbols: str) -> str:
-        """The same for a long word: only the neighbours of what is merged are looked at again."""
-        own: list[str | None] = list(symbols)
-        end = len(own)
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        queue = [(rank[p], i) for i, p in enumerate(map(add, symbols, symbols[1:])) if p in rank]
-        heapify(queue)
-        while queue:
-            done, i = heappop(queue)
-            j = after[i]
-            if own[i] is None or j == end or own[i] + own[j] != merges[done][0]:
-                continue
-            own[i], own[j] = merges[done][1], None
-            k = after[i] = after[j]
-            if k < end:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < end and rank.get(own[x] + own[y], -1) > done:
-                    heappush(queue, (rank[own[x] + own[y]], x))
-        return "".join(filter(None, own))
-
-    @F.pandas_udf("string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            if len(merges) > MERGES_BY_BATCH:
-                yield batch.map(rewrite)
-                continue
-            joined = "\n".join(batch)
-            for pair, new in merges:
-                joined = joined.replace(pair, new)
-            yield pd.Series(joined.split("\n")) if len(batch) else batch
-
-    return apply(word)
-
-
-def runs_of(word: Column, pairs: set[str]) -> Column:
-    """The longest stretches of a word in which all neighbouring pairs are among ``pairs``."""
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(runs)
-
-    def runs(symbols: str) -> list[str]:
-        ends = [i for i, pair in enumerate(map(add, symbols, symbols[1:]), 1) if pair not in pairs]
-        starts = [0, *ends]
-        return [symbols[a:b] for a, b in zip(starts, [*ends, len(symbols)]) if b - a > 1]
-
-    return cut(word)
-
-
 def bounded_runs(
-    words: DataFrame, ranked: list[tuple[str, int]], last: tuple[int, str]
+    index: PairIndex, ranked: list[tuple[str, int]], last: tuple[int, str]
 ) -> tuple[list[tuple[str, int]], tuple[int, str]]:
     """Runs of the most frequent pairs with their counts, from as many pairs as keep the runs small.
 
@@ -147,13 +66,7 @@ def bounded_runs(
     the runs are still over the limits, half the pairs are tried, and with none left the list is empty.
     """
     while ranked:
-        pairs = {pair for pair, _ in ranked}
-        runs = (
-            words.select(F.explode(runs_of(F.col("word"), pairs)).alias("run"), "n")
-            .groupBy("run")
-            .agg(F.sum("n").alias("n"))
-            .persist()
-        )
+        runs = index.runs([pair for pair, _ in ranked]).persist()
         size = runs.agg(F.count("*").alias("runs"), F.sum(F.length("run")).alias("symbols")).first()
         small = size["runs"] <= MAX_RUNS and size["symbols"] <= MAX_RUN_SYMBOLS
         rows = [(r["run"], r["n"]) for r in runs.collect()] if small else []
@@ -283,16 +196,13 @@ def train_vocabulary(words: DataFrame, config: VocabConfig = VocabConfig()) -> V
     """Learn a byte-pair vocabulary from ``words(word, n)``.
 
     The result is that of merging one pair at a time: the most frequent pair first, equal counts by
-    smaller ids, until the vocabulary is full or no pair is frequent enough. It is reached in rounds, each
-    over the whole word table:
+    smaller ids, until the vocabulary is full or no pair is frequent enough. It is reached in rounds over an
+    index of the words (``PairIndex``):
 
-    1. count neighbouring pairs and take the most frequent ones;
-    2. cut the words into runs of those pairs and count distinct runs;
+    1. take the most frequent pairs from the counts that the index keeps;
+    2. cut the words that hold them into runs of those pairs and count distinct runs;
     3. order all merges that these counts decide; the driver holds only this bounded summary;
-    4. rewrite the words with them.
-
-    The word table is written to the shared folder each round, in two places by turns, so that the plan does
-    not grow and a lost executor re-reads it.
+    4. rewrite the words that hold them, and correct the counts of pairs by what changes.
     """
     if config.vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size must not exceed {MAX_VOCAB}")
@@ -300,35 +210,24 @@ def train_vocabulary(words: DataFrame, config: VocabConfig = VocabConfig()) -> V
     words = stored(words, "training-words")
     alphabet = sorted(r["ch"] for r in top_alphabet(character_counts(words), config.limit_alphabet).collect())
     tokens = Tokens(alphabet)
-    path = scratch_path(spark, "training-state")
-    rounds = 0
-
-    def rewrite(table: DataFrame) -> DataFrame:
-        target = f"{path}/{rounds % 2}"
-        table.where(F.length("word") > 1).write.mode("overwrite").parquet(target)
-        return spark.read.schema("word string, n bigint").parquet(target)
-
-    words = spread(words, "word")
-    state = rewrite(words.select(_as_symbols(F.col("word"), alphabet).alias("word"), "n"))
+    index = PairIndex(spread(words, "word").select(_as_symbols(F.col("word"), alphabet).alias("word"), "n"))
     lookahead = FIRST_PAIRS
     least = max(config.min_frequency, 1)
     while len(tokens) < config.vocab_size:
-        frequent = pair_counts(state).where(F.col("n") >= least)
-        top = frequent.orderBy(F.desc("n"), "pair").limit(MAX_PAIRS).collect()
-        ranked = [(r["pair"], r["n"]) for r in top]
+        ranked = index.top(MAX_PAIRS, least)
         if not ranked:
             break
         seen = ranked[:lookahead]
         complete = len(seen) == len(ranked) < MAX_PAIRS
         last = (-least, END_OF_SYMBOLS) if complete else (-seen[-1][1], seen[-1][0])
-        runs, last = bounded_runs(state, seen, last)
+        runs, last = bounded_runs(index, seen, last)
         merges = certain_merges(runs, last, tokens, config.vocab_size)
         if not merges:
             merges = independent_merges(ranked, tokens, config.vocab_size)
         if len(runs) < MAX_RUNS // 4:
             lookahead = min(lookahead * (4 if len(runs) < MAX_RUNS // 16 else 2), MAX_PAIRS)
-        rounds += 1
-        state = rewrite(state.withColumn("word", merged(F.col("word"), merges)))
+        if len(tokens) < config.vocab_size:
+            index.merge(merges)
     spelled = tokens.spellings
     merge_rows = [(rank, spelled[a], spelled[b]) for rank, (a, b) in enumerate(tokens.merges)]
     return Vocabulary(

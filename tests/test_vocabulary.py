@@ -1,13 +1,16 @@
 import json
 import random
 from collections import Counter
+from itertools import pairwise
 
+import numpy as np
 import pytest
 from small_tables import SF
 from pyspark.sql import functions as F
 
 from ananym.config import VocabConfig
 from ananym.operators import vocabulary
+from ananym.operators.pair_index import Block, Merges, PairIndex, key_of, pair_of
 from ananym.operators.vocabulary import (
     END_OF_SYMBOLS,
     Tokens,
@@ -108,7 +111,6 @@ def test_spark_rounds_with_small_limits(spark, monkeypatch, limits):
     monkeypatch.setattr(vocabulary, "MAX_PAIRS", pairs)
     monkeypatch.setattr(vocabulary, "MAX_RUNS", runs)
     monkeypatch.setattr(vocabulary, "FIRST_PAIRS", first)
-    monkeypatch.setattr(vocabulary, "MERGES_BY_BATCH", 2)
     pick = random.Random(5)
     words = Counter("".join(pick.choice("abcde") for _ in range(pick.randint(1, 9))) for _ in range(300))
     trained = train_vocabulary(spark_words(spark, words), VocabConfig(18, 2, 500))
@@ -170,21 +172,61 @@ def test_nothing_to_learn(spark):
     assert [r["token"] for r in trained.vocab.orderBy("id").collect()] == ["<unk>", "▁", "<s>", "</s>", "<pad>"]
 
 
-def test_long_words_are_rewritten_alike(spark, monkeypatch):
-    """Positions and plain replacement give the same words."""
-    source = random.Random(3)
-    words = ["".join(source.choices([symbol(i) for i in range(1, 5)], k=source.randint(2, 90))) for _ in range(300)]
-    tokens = Tokens(["a", "b", "c", "d"])
-    merges = certain_merges([(w, 1) for w in words], (-1, END_OF_SYMBOLS), tokens, 400)
-    assert len(merges) > vocabulary.MERGES_BY_BATCH
-    df = spark.createDataFrame([(w,) for w in words], "word string")
-    got = [r[0] for r in df.coalesce(1).select(vocabulary.merged(F.col("word"), merges)).collect()]
-    want = []
-    for w in words:
-        for pair, new in merges:
-            w = w.replace(pair, new)
-        want.append(w)
-    assert got == want
+def block_words(block):
+    texts = ["".join(symbol(i) for i in block.symbols[a:b].tolist()) for a, b in zip(block.starts, block.starts[1:])]
+    return Counter({w: sum(n for v, n in zip(texts, block.counts.tolist()) if v == w) for w in set(texts)})
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_blocks_change_as_plain_replacement_does(seed):
+    """Words, index and corrected counts after several rounds; short words and long ones, rows of one symbol among them."""
+    source = random.Random(seed)
+    letters = [symbol(i) for i in range(1, 4)]
+    texts = ["".join(source.choices(letters, k=source.choice([2, 3, 7, 20, 63, 64, 65, 90]))) for _ in range(60)]
+    words = Counter()
+    for text in [*texts, letters[0] * 9, letters[0] * 100]:
+        words[text] += source.randint(1, 3)
+    block = Block.of(list(words), list(words.values()))
+    counts = {pair_of(k): n for k, n in zip(*(x.tolist() for x in block.summed()))}
+    tokens = Tokens(["a", "b", "c"])
+    for cap in (6, 12, 40, 41, 300):
+        assert counts == counted(words)
+        merges = certain_merges(list(words.items()), (-1, END_OF_SYMBOLS), tokens, cap)
+        if not merges:
+            break
+        pairs = sorted(key_of(p) for p in source.sample(sorted(counts), min(4, len(counts))))
+        assert set(block.runs(np.array(pairs))) == {r for w in words for r in runs(w, set(map(pair_of, pairs)))}
+        block, keys, changes, _ = block.merge(Merges(merges))
+        for key, by in zip(keys.tolist(), changes.tolist()):
+            counts[pair_of(key)] = counts.get(pair_of(key), 0) + by
+        counts = {p: n for p, n in counts.items() if n}
+        words = merge_words(words, merges)
+        words = Counter({w: n for w, n in words.items() if len(w) > 1})
+        assert block_words(block) == words
+        assert (np.diff(block.keys) >= 0).all()
+        assert Counter(zip(block.keys.tolist(), block.owners.tolist())) == Counter(
+            (key_of(p + q), i) for i, (a, b) in enumerate(zip(block.starts, block.starts[1:])) for p, q in pairwise(map(symbol, block.symbols[a:b].tolist()))
+        )
+
+
+def runs(word, pairs):
+    ends = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+    return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)]) if b - a > 1]
+
+
+def test_later_rounds_touch_a_fraction_of_the_words(spark, corpus, monkeypatch):
+    shares = []
+    merge = PairIndex.merge
+
+    def watched(index, merges):
+        total = index.blocks.select(F.sum(F.octet_length("counts")) / 8).first()[0]
+        merge(index, merges)
+        shares.append(index.blocks.agg(F.sum("touched")).first()[0] / total)
+
+    monkeypatch.setattr(PairIndex, "merge", watched)
+    train_vocabulary(word_counts(corpus), VocabConfig(20_000))
+    assert len(shares) > 4
+    assert max(shares[3:]) < 0.8
 
 
 def test_a_long_mixed_word_trains_in_seconds(spark):
