@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ananym.config import REVERSED, SPECIAL_TOKENS, UNK, WORD_MARK
-from ananym.functions.text import may_change_under_nfkc, nfkc, special_segments, words
+from ananym.functions.text import may_change_under_nfkc
+from ananym.operators.columnar import LITERAL, Encoder, split_words
 from ananym.operators.order import nth_in_order, up_to
 from ananym.operators.rows import require_orientation, reverse_rows
 from ananym.operators.vocabulary import MAX_VOCAB, Vocabulary
@@ -22,8 +22,6 @@ from ananym.session import stored
 # Words of at most HEAD_CHARS characters, HEAD_WORDS of them, are joined by broadcast: below 64 MB whatever the corpus.
 HEAD_WORDS = 100_000
 HEAD_CHARS = 32
-CACHED_WORDS = 200_000
-CACHED_CHARS = 64
 MAX_SPELLING_CHARS = 16 << 20
 
 BY_WORD = "by_word"
@@ -72,49 +70,66 @@ def encode_word(word: str, token_ids: dict, pairs: dict) -> list[int]:
     return [i for i in ids if i is not None]
 
 
-def encode_words(word: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of single words, in Arrow batches; the merges reach each executor once."""
-    shared = vocabulary.vocab.sparkSession.sparkContext.broadcast(merge_table(vocabulary))
+def _encoder(table: tuple[dict, dict]) -> Encoder:
+    token_ids, pairs = table
+    return Encoder(token_ids, pairs, lambda word: encode_word(word, token_ids, pairs))
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token_ids, pairs = shared.value
+
+def word_tokens(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Add ``ids`` to a table of distinct words, in Arrow batches."""
+    table = merge_table(vocabulary)
+
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(table)
         for batch in batches:
-            yield batch.map(lambda w: encode_word(w, token_ids, pairs))
+            special = np.asarray(pc.is_in(batch, pa.array(SPECIAL_TOKENS)))
+            tokens = batch.filter(pa.array(special)).to_pylist()
+            marked = pc.replace_substring(batch.filter(pa.array(~special)), WORD_MARK, "")
+            yield encoder.placed(marked, np.arange(len(batch) + 1), (np.flatnonzero(special) - np.arange(len(tokens)), tokens))
 
-    return encode(word)
+    return words.withColumn("ids", ids_of("word"))
 
 
-def word_tokens(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Add ``ids`` to a table of distinct words."""
-    return words.withColumn("ids", encode_words(F.col("word"), vocabulary))
+def _factorised(text: Column, first_words: int | None, match_special: bool) -> Column:
+    """A text's distinct words, and for each of its words in order which of them it is."""
 
+    @F.arrow_udf("words array<string>, places array<int>")
+    def factorise(texts: pa.Array) -> pa.Array:
+        found: list[dict] = []
+        for segments in (LITERAL.split(t) if match_special else [t] for t in pc.fill_null(texts, "").to_pylist()):
+            own = pa.array(segments[::2], pa.string())
+            words, counts = split_words(own, first_words)
+            marked = pc.binary_join_element_wise(WORD_MARK, words, "") if len(words) else words
+            if len(segments) > 1:
+                spaced = np.insert(np.arange(len(marked)), np.cumsum(counts)[:-1], len(marked) + np.arange(len(segments) // 2))
+                marked = pa.concat_arrays([marked, pa.array(segments[1::2], pa.string())]).take(pa.array(spaced))
+            coded = marked.dictionary_encode()
+            found.append({"words": coded.dictionary, "places": coded.indices})
+        column = lambda name, kind: _lists([row[name] for row in found], kind)
+        return pa.StructArray.from_arrays([column("words", pa.string()), column("places", pa.int32())], ["words", "places"])
 
-def _placed_words(df: DataFrame, keep: list[str], first_words: int | None, match_special: bool) -> DataFrame:
-    """One row per word of a document with its place; a document without words keeps one row.
+    return factorise(text)
 
-    Literal special tokens, when matched, are cut out before normalising, so each part starts a new word.
-    """
-    if not match_special:
-        pieces = words(nfkc(F.col("text")))
-        if first_words is not None:
-            pieces = F.slice(pieces, 1, first_words)
-        return df.select(*keep, F.lit(0).alias("part"), F.posexplode_outer(pieces).alias("place", "word"))
-    parts = df.select(*keep, F.posexplode_outer(special_segments(F.col("text"))).alias("part", "segment"))
-    special = F.col("segment").isin(*SPECIAL_TOKENS)
-    pieces = F.when(special, F.array("segment")).otherwise(words(nfkc(F.col("segment"))))
-    return parts.select(*keep, "part", F.posexplode_outer(pieces).alias("place", "word"))
+
+def _lists(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], kind), *(p.cast(kind) for p in parts)]))
 
 
 def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFrame:
-    """Encode each distinct word once, then put the ids back where the words stood.
+    """Encode each distinct word of the corpus once, and give each document the ids of its own distinct words.
 
-    Frequent words, which make up most of a corpus, are a bounded table and joined by broadcast where
-    the text is; only rare and long words are shuffled to their ids. Both sides of that join are shuffled as they
-    are, so that Spark can split a long word that is frequent. ``by_document`` needs none of this and is the better
-    choice unless words are very costly to encode.
+    Documents are read once and stored as their distinct words and where these stand; only (document, distinct word) rows
+    are joined. Frequent words, which are in most documents, are a bounded table and joined by broadcast;
+    rare and long words are shuffled to their ids, both sides as they are, so that Spark can split a long
+    word that is frequent. ``by_document`` needs no shuffle and is the better choice unless words are very costly to encode.
     """
-    placed = _placed_words(df, keep, first_words, match_special)
+    own = _factorised(F.col("text"), first_words, match_special).alias("own")
+    split = stored(df.select(*keep, own).select(*keep, "own.words", "own.places"), "split-documents")
+    placed = split.select(*keep, F.posexplode_outer("words").alias("nth", "word"), "places")
+    # Only a document's first row carries the places.
+    placed = placed.withColumn("places", F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("places")))
     counted = placed.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
     known = stored(word_tokens(counted, vocabulary), "word-tokens")
     short = known.where(F.length("word") <= HEAD_CHARS)
@@ -124,62 +139,33 @@ def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFra
     head = stored(head.select("word", "ids"), "frequent-words")
     joined = placed.join(F.broadcast(head), "word", "left")
     settled = joined.where(F.col("ids").isNotNull() | F.col("word").isNull())
-    rare = joined.where(F.col("ids").isNull() & F.col("word").isNotNull()).drop("ids")
     rest = known.select("word", "ids").join(F.broadcast(head.select("word")), "word", "left_anti")
-    if rest.isEmpty():
-        filled = settled
-    else:
-        filled = settled.unionByName(rare.join(rest, "word"))
-    ordered = F.array_sort(F.collect_list(F.struct("part", "place", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
-    return filled.groupBy(*keep).agg(F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("input_ids"))
+    if not rest.isEmpty():
+        rare = joined.where(F.col("ids").isNull() & F.col("word").isNotNull()).drop("ids")
+        settled = settled.unionByName(rare.join(rest, "word"))
+    in_order = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("nth", "ids"))))
+    whole = settled.groupBy(*keep).agg(in_order.alias("own"), F.first("places", ignorenulls=True).alias("places"))
+    ids = F.flatten(F.transform("places", lambda p: F.get(F.col("own"), p)["ids"]))
+    return whole.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("input_ids"))
 
 
 def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> DataFrame:
-    """Encode documents where they are, in Arrow batches: no shuffle, and each task remembers words it has seen."""
+    """Encode documents where they are, in Arrow batches: no shuffle, and the distinct words of a batch are encoded together."""
     table = merge_table(vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    literal = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token_ids, pairs = shared.value
-        seen: dict[str, list[int]] = {}
-
-        def ids_of(text: str | None) -> np.ndarray:
-            out: list[int] = []
-            for segment in literal.split(text) if match_special and text else [text or ""]:
-                if match_special and segment in SPECIAL_TOKENS:
-                    out.append(token_ids[segment])
-                else:
-                    add_words(segment, out)
-            return np.array(out, dtype=np.int32)
-
-        def add_words(text: str, out: list[int]) -> None:
-            text = unicodedata.normalize("NFKC", text)
-            pieces = text.replace(WORD_MARK, " ").split(" ") if text else []
-            if len(pieces) > 1 and not pieces[0]:
-                del pieces[0]
-            for piece in pieces if first_words is None else pieces[:first_words]:
-                ids = seen.get(piece)
-                if ids is None:
-                    ids = encode_word(WORD_MARK + piece, token_ids, pairs)
-                    if len(piece) <= CACHED_CHARS:
-                        if len(seen) >= CACHED_WORDS:
-                            seen.clear()
-                        seen[piece] = ids
-                out += ids
 
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(table)
         for batch in batches:
-            yield batch.map(ids_of)
+            yield encoder.texts(batch, first_words, match_special)
 
     # Keeps the optimiser from copying the call into every later use of the ids.
-    encode = encode.asNondeterministic()
+    ids_of = ids_of.asNondeterministic()
     text = F.col("text")
     if first_words is not None:
         # Normalising may add spaces but takes none away, and a part that ends before a space normalises alone.
         text = F.substring_index(text, " ", first_words + 2)
-    return df.select(*keep, encode(text).alias("input_ids"))
+    return df.select(*keep, ids_of(text).alias("input_ids"))
 
 
 def encode(

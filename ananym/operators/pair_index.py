@@ -47,7 +47,7 @@ def pair_of(key: int) -> str:
 # --- runs of numbers ------------------------------------------------------------------------------
 
 
-def _taken(begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def taken(begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of several ranges one after another, and where each range starts among them (one more at the end)."""
     starts = np.concatenate(([0], np.cumsum(lengths)))
     return np.repeat(begin - starts[:-1], lengths) + np.arange(starts[-1]), starts
@@ -70,19 +70,32 @@ def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Merges:
     """Merges of one round, in their order."""
 
-    def __init__(self, merges: list[tuple[str, str]]):
-        keys = np.array([key_of(pair) for pair, _ in merges], np.int64)
+    def __init__(self, keys: np.ndarray, made: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.made = np.array([ord(new) - SYMBOL_BASE for _, new in merges], np.int32)
-        self.rank = dict(zip(keys.tolist(), range(len(merges))))
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made.astype(np.int32)
+        self.rank = dict(zip(keys.tolist(), range(len(keys))))
 
-    def applied(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words after all merges, one merge after the other, each from left to right without overlaps."""
+    @staticmethod
+    def of(merges: list[tuple[str, str]]) -> Merges:
+        return Merges(np.array([key_of(pair) for pair, _ in merges], np.int64), np.array([ord(new) - SYMBOL_BASE for _, new in merges]))
+
+    def stepping_back(self) -> np.ndarray:
+        """For each merge, whether what it makes takes part in an earlier one, so that a word may go back to that."""
+        sides = np.concatenate((self.keys >> ID_BITS, self.keys & ((1 << ID_BITS) - 1)))
+        first = np.full(1 << ID_BITS, NEVER)
+        np.minimum.at(first, sides, np.concatenate((self.ranks, self.ranks)))
+        return first[self.made] < np.arange(len(self.made))
+
+    def applied(self, symbols: np.ndarray, starts: np.ndarray, watched: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words after all merges, one merge after the other, each from left to right without overlaps.
+
+        Also returns the words that one of the ``watched`` merges, given by a flag for each, was made in, and all long ones.
+        """
         lengths = np.diff(starts)
-        words, own_starts, parts = np.flatnonzero(lengths <= LONG_WORD), None, []
+        words, parts = np.flatnonzero(lengths <= LONG_WORD), []
         long = [(w, self._long(symbols[starts[w] : starts[w + 1]])) for w in np.flatnonzero(lengths > LONG_WORD).tolist()]
-        places, own_starts = _taken(starts[words], lengths[words])
+        noted = [np.flatnonzero(lengths > LONG_WORD)]
+        places, own_starts = taken(starts[words], lengths[words])
         here, done = symbols[places], np.full(len(words), -1)
         while len(words):
             keys, inside = _neighbours(here, own_starts)
@@ -100,6 +113,8 @@ class Merges:
                 words, least = words[going], least[going]
                 if not len(words):
                     break
+            if watched is not None:
+                noted.append(words[watched[least]])
             chosen = rank == least[owner]
             # In a row of equal symbols every second pair is merged.
             place = np.arange(len(here))
@@ -116,8 +131,8 @@ class Merges:
         flat = np.concatenate([s for _, s, _ in parts] + [s for _, s in long] + [np.zeros(0, np.int32)])
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         back = np.argsort(order)
-        places, after = _taken(begin[back], sizes[back])
-        return flat[places], after
+        places, after = taken(begin[back], sizes[back])
+        return flat[places], after, np.unique(np.concatenate(noted))
 
     def _long(self, symbols: np.ndarray) -> np.ndarray:
         """The same for a long word: only the neighbours of what is merged are looked at again."""
@@ -162,7 +177,7 @@ class Block:
     def _index(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index entries of some words, in order."""
         lengths = np.diff(self.starts)[words]
-        places, starts = _taken(self.starts[words], lengths)
+        places, starts = taken(self.starts[words], lengths)
         keys, inside = _neighbours(self.symbols[places], starts)
         owners = np.repeat(words, lengths)[:-1][inside].astype(np.int32)
         order = np.argsort(keys[inside], kind="stable")
@@ -171,7 +186,7 @@ class Block:
     def holding(self, keys: np.ndarray) -> np.ndarray:
         """The words that hold any of the pairs."""
         begin, end = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        places, _ = _taken(begin, end - begin)
+        places, _ = taken(begin, end - begin)
         return np.unique(self.owners[places])
 
     def summed(self) -> tuple[np.ndarray, np.ndarray]:
@@ -184,13 +199,13 @@ class Block:
         if not len(touched):
             return self, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         lengths = np.diff(self.starts)
-        places, starts = _taken(self.starts[touched], lengths[touched])
-        symbols, starts = merges.applied(self.symbols[places], starts)
+        places, starts = taken(self.starts[touched], lengths[touched])
+        symbols, starts, _ = merges.applied(self.symbols[places], starts)
         # Words stand where they stood; those of a single symbol leave.
         begin, size = self.starts[:-1].copy(), lengths.copy()
         begin[touched], size[touched] = len(self.symbols) + starts[:-1], np.diff(starts)
         stays = size > 1
-        places, after = _taken(begin[stays], size[stays])
+        places, after = taken(begin[stays], size[stays])
         number = np.cumsum(stays) - 1
         hit = np.zeros(len(stays), bool)
         hit[touched] = True
@@ -208,7 +223,7 @@ class Block:
     def runs(self, keys: np.ndarray) -> Counter[str]:
         """The longest stretches of words in which all neighbouring pairs are among ``keys``, with their counts."""
         words = self.holding(keys)
-        places, starts = _taken(self.starts[words], np.diff(self.starts)[words])
+        places, starts = taken(self.starts[words], np.diff(self.starts)[words])
         symbols = self.symbols[places]
         own, inside = _neighbours(symbols, starts)
         wanted = np.zeros(len(own) + 2, bool)
@@ -307,7 +322,7 @@ class PairIndex:
 
     def merge(self, merges: list[tuple[str, str]]) -> None:
         """Apply merges to the words that hold them, and correct the counts of pairs by what that changed."""
-        ordered = Merges(merges)
+        ordered = Merges.of(merges)
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in _blocks(batches):

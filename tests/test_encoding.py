@@ -1,16 +1,20 @@
+import random
 import unicodedata
+from functools import partial
 
 import pytest
 from small_tables import SF
 from pyspark.sql import functions as F
 
 from ananym.config import SPECIAL_TOKENS, VocabConfig
-from ananym.operators import encoding
+from ananym.operators import columnar, encoding
+from ananym.operators.columnar import Encoder
 from ananym.operators.encoding import (
     BY_DOCUMENT,
     BY_WORD,
     decode,
     encode,
+    encode_word,
     may_fill_context,
     reverse_and_encode,
     token_strings,
@@ -75,12 +79,31 @@ def test_rare_words_take_the_shuffled_way(corpus, vocab, monkeypatch):
     assert encoded(corpus, vocab, strategy=BY_WORD) == want
 
 
-def test_a_forgotten_word_is_encoded_again(corpus, vocab, monkeypatch):
+def test_small_slices_change_nothing(corpus, vocab, monkeypatch):
     want = encoded(corpus, vocab)
-    monkeypatch.setattr(encoding, "CACHED_WORDS", 3)
+    monkeypatch.setattr(columnar, "SLICE_BYTES", 300)
     assert encoded(corpus, vocab) == want
 
 
+def test_words_together_are_encoded_as_one_by_one():
+    """Random merges over few letters, so that some make a token that an earlier merge uses."""
+    steps_back = 0
+    for seed in range(60):
+        source = random.Random(seed)
+        ids, pairs = {"<unk>": 0, "▁": 1, "a": 2, "b": 3}, {}
+        while len(pairs) < 20:
+            left, right = source.choice(list(ids)[2:]), source.choice(list(ids)[2:])
+            if len(left + right) < 6:
+                ids.setdefault(left + right, len(ids))
+                pairs.setdefault((ids[left], ids[right]), (len(pairs), ids[left + right]))
+        words = ["▁" + "".join(source.choices("aabbx", k=source.randint(0, 12))) for _ in range(60)] + ["▁" + "".join(source.choices("ab", k=90))]
+        encoder = Encoder(ids, pairs, partial(encode_word, token_ids=ids, pairs=pairs))
+        flat, starts = encoder.distinct(words)
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [encode_word(w, ids, pairs) for w in words]
+        steps_back += int(encoder.back.any())
+    assert steps_back > 10
+
+
 @pytest.mark.parametrize("strategy", [BY_DOCUMENT, BY_WORD])
 def test_literal_special_tokens(corpus, vocab, library, texts, strategy):
     matching = tokenizers.Tokenizer.from_str(library.to_str())

@@ -196,7 +196,7 @@ def test_blocks_change_as_plain_replacement_does(seed):
             break
         pairs = sorted(key_of(p) for p in source.sample(sorted(counts), min(4, len(counts))))
         assert set(block.runs(np.array(pairs))) == {r for w in words for r in runs(w, set(map(pair_of, pairs)))}
-        block, keys, changes, _ = block.merge(Merges(merges))
+        block, keys, changes, _ = block.merge(Merges.of(merges))
         for key, by in zip(keys.tolist(), changes.tolist()):
             counts[pair_of(key)] = counts.get(pair_of(key), 0) + by
         counts = {p: n for p, n in counts.items() if n}
