@@ -73,8 +73,9 @@ class Encoder:
         self.back = self.merges.stepping_back()
 
     def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that each begin with the mark and hold no other, one after another, and where each word's start."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        """Ids of words, given without their mark, one after another, and where each word's start."""
+        text = WORD_MARK + WORD_MARK.join(words) if words else ""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts = np.append(np.flatnonzero(points == ord(WORD_MARK)), len(points))
         if not len(words) or not len(self.merges.keys):
             return self.by_code_point[points], starts
@@ -84,14 +85,14 @@ class Encoder:
         if len(again):
             parts = np.split(ids, after[1:-1])
             for w in again.tolist():
-                parts[w] = np.array(self.one_word(words[w]), np.int32)
+                parts[w] = np.array(self.one_word(WORD_MARK + words[w]), np.int32)
             ids, after = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         return ids, after
 
     def placed(self, words: pa.Array, bounds: np.ndarray, special: tuple[np.ndarray, list[str]] | None = None) -> pa.Array:
         """One list of ids for each range of ``words``; ``special`` gives tokens to put in before given words."""
         coded = words.dictionary_encode()
-        ids, starts = self.distinct([WORD_MARK + w for w in coded.dictionary.to_pylist()])
+        ids, starts = self.distinct(coded.dictionary.to_pylist())
         codes = np.asarray(coded.indices, dtype=np.int64)
         if special:
             before, tokens = special

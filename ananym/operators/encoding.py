@@ -33,15 +33,13 @@ def merge_table(vocabulary: Vocabulary) -> tuple[dict, dict]:
 
     Bounded by the vocabulary size; never grows with the corpus.
     """
-    rows = vocabulary.vocab.limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
+    tokens = vocabulary.vocab.select("token", "id").limit(MAX_VOCAB + 1).toArrow()
+    if len(tokens) > MAX_VOCAB:
         raise ValueError(f"a vocabulary must not exceed {MAX_VOCAB} tokens")
-    ids = {r["token"]: r["id"] for r in rows}
-    pairs = {
-        (ids[m["left"]], ids[m["right"]]): (m["rank"], ids[m["left"] + m["right"]])
-        for m in vocabulary.merges.orderBy("rank").collect()
-    }
-    return ids, pairs
+    ids = dict(zip(tokens["token"].to_pylist(), tokens["id"].to_pylist()))
+    merges = vocabulary.merges.orderBy("rank").toArrow()
+    ordered = zip(*(merges[name].to_pylist() for name in ("rank", "left", "right")))
+    return ids, {(ids[left], ids[right]): (rank, ids[left + right]) for rank, left, right in ordered}
 
 
 def encode_word(word: str, token_ids: dict, pairs: dict) -> list[int]:
@@ -145,8 +143,9 @@ def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFra
         settled = settled.unionByName(rare.join(rest, "word"))
     in_order = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("nth", "ids"))))
     whole = settled.groupBy(*keep).agg(in_order.alias("own"), F.first("places", ignorenulls=True).alias("places"))
-    ids = F.flatten(F.transform("places", lambda p: F.get(F.col("own"), p)["ids"]))
-    return whole.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("input_ids"))
+    # The sorted array is a lambda's variable, so that it is not sorted again for each place.
+    laid_out = F.transform(F.array("own"), lambda own: F.flatten(F.transform("places", lambda p: F.get(own, p)["ids"])))
+    return whole.select(*keep, F.coalesce(F.element_at(laid_out, 1), F.array().cast("array<int>")).alias("input_ids"))
 
 
 def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> DataFrame:

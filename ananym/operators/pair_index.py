@@ -79,6 +79,10 @@ class Merges:
     def of(merges: list[tuple[str, str]]) -> Merges:
         return Merges(np.array([key_of(pair) for pair, _ in merges], np.int64), np.array([ord(new) - SYMBOL_BASE for _, new in merges]))
 
+    def _ranks(self, keys: np.ndarray) -> np.ndarray:
+        at, known = _found(keys, self.keys)
+        return np.where(known, self.ranks[at], NEVER)
+
     def stepping_back(self) -> np.ndarray:
         """For each merge, whether what it makes takes part in an earlier one, so that a word may go back to that."""
         sides = np.concatenate((self.keys >> ID_BITS, self.keys & ((1 << ID_BITS) - 1)))
@@ -97,13 +101,12 @@ class Merges:
         noted = [np.flatnonzero(lengths > LONG_WORD)]
         places, own_starts = taken(starts[words], lengths[words])
         here, done = symbols[places], np.full(len(words), -1)
-        while len(words):
+        owner = np.repeat(np.arange(len(words)), lengths[words])
+        rank = np.full(len(here), NEVER)
+        if len(words):
             keys, inside = _neighbours(here, own_starts)
-            at, known = _found(keys, self.keys)
-            owner = np.repeat(np.arange(len(words)), np.diff(own_starts))
-            rank = np.full(len(here), NEVER)
-            rank[:-1] = np.where(known & inside, self.ranks[at], NEVER)
-            rank[rank <= done[owner]] = NEVER  # an earlier merge does not come again
+            rank[:-1] = np.where(inside, self._ranks(keys), NEVER)
+        while len(words):
             least = np.minimum.reduceat(rank, own_starts[:-1])
             going = least < NEVER
             if not going.all():
@@ -121,10 +124,19 @@ class Merges:
             first = chosen.copy()
             first[1:] &= ~(chosen[:-1] & (owner[1:] == owner[:-1]))
             chosen &= (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
-            here[chosen] = self.made[rank[chosen]]
+            merged = np.flatnonzero(chosen)
+            here[merged] = self.made[rank[merged]]
             left = np.ones(len(here), bool)
-            left[np.flatnonzero(chosen) + 1] = False
-            here, owner, done = here[left], owner[left], least
+            left[merged + 1] = False
+            here, owner, rank, done = here[left], owner[left], rank[left], least
+            # Only pairs beside a merged symbol have changed; an earlier merge does not come again.
+            merged -= np.arange(len(merged))
+            rank[merged] = NEVER
+            before = np.concatenate((merged, merged[merged > 0] - 1))
+            before = before[before + 1 < len(owner)]
+            before = before[owner[before] == owner[before + 1]]
+            new = self._ranks(here[before].astype(np.int64) << ID_BITS | here[before + 1])
+            rank[before] = np.where(new > done[owner[before]], new, NEVER)
             own_starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
         order = np.concatenate([w for w, _, _ in parts] + [np.array([w for w, _ in long], np.int64)])
         sizes = np.concatenate([n for _, _, n in parts] + [np.array([len(s) for _, s in long], np.int64)])
