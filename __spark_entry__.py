@@ -18,7 +18,7 @@ from ananym.config import VOCAB_SIZE, BatchConfig, VocabConfig
 from ananym.functions.arrays import chunked
 from ananym.functions.hashing import fraction_limit
 from ananym.functions.text import may_change_under_nfkc, nfkc, prefix, prefix_reversed, read_back, words
-from ananym.operators.batches import assign_batches, collate, epoch_order
+from ananym.operators.batches import assign_batches, collate, epoch_order, shuffled_batches
 from ananym.operators.encoding import BY_DOCUMENT, BY_WORD, decode, encode, reverse_and_encode, token_strings
 from ananym.operators.limits import (
     random_rows,
@@ -28,6 +28,7 @@ from ananym.operators.limits import (
     split_hash,
     take_first,
 )
+from ananym.operators.order import rows_at, write_key_ranges
 from ananym.operators.reports import corpus_report, length_report, loss_history, observed, step_report, token_report
 from ananym.operators.rows import (
     explode_rows,
@@ -59,16 +60,19 @@ from ananym.plans import prepare_corpus, tokenise_corpus, train_tokenizer, train
 from ananym.session import scratch_path, spread, stored
 from ananym.sources.corpus import (
     bundle_splits,
+    disk_order,
     keep_copy,
     read_corpus,
     read_split_files,
     read_splits,
     store_with_keys,
+    write_shuffled,
     write_splits,
 )
 from ananym.sources.logs import read_log
-from ananym.sources.vocabulary import load_vocabulary, save_vocabulary
-from ananym.streaming.files import counting_rows, cut_stream, prepare_stream, progress, stream_corpus, write_available
+from ananym.sources.vocabulary import load_vocabulary, read_tokenizer_file, save_vocabulary, write_tokenizer_file
+from ananym.streaming.files import counting_rows, cut_stream, encode_stream, prepare_stream, progress, stream_corpus, write_available
+from ananym.streaming.ledger import ledger_schema, ledger_totals, write_counted
 
 VOCAB_CAP = 150
 CONTEXT = 64
@@ -198,6 +202,20 @@ def reopen_split(spark, sf):
     return read_splits(spark, path, "valid").select("doc_id", "text")
 
 
+def shuffled_splits(spark, sf):
+    """Splits written in shuffled order, and the order in which their rows lie on disk."""
+    path = scratch_path(spark, "shuffled")
+    write_shuffled(split_exact(documents(spark, sf), 0.1), path, seed=7)
+    return disk_order(spark.read.parquet(path), by=("split",)).select("doc_id", "split", "position", "disk_order")
+
+
+def indexed_rows(spark, sf):
+    """Rows at several positions, by an index of key ranges."""
+    texts = order_texts(spark, sf)
+    ranges = write_key_ranges(texts, scratch_path(spark, "ranges"), "name", rows_per_range=1000)
+    return rows_at(texts, ranges, [0, 7, 5_000, 11_111, 10**9], "name")
+
+
 def bundled_splits(spark, sf):
     """One table per role, bundled under the role's name."""
     turns = conversations(spark, sf)
@@ -211,6 +229,13 @@ def vocabulary_saved(spark, sf, size=VOCAB_CAP):
     return load_vocabulary(spark, path).vocab
 
 
+def tokenizer_file(spark, sf, size=VOCAB_CAP):
+    """The vocabulary after a round trip through the public library's file."""
+    path = scratch_path(spark, "tokenizer-file")
+    write_tokenizer_file(vocabulary(spark, sf, size), path)
+    return read_tokenizer_file(spark, path).vocab
+
+
 def _written_log(spark, sf) -> DataFrame:
     """A training log made from ``events``: one run per event type, ``error`` events as evaluation entries."""
     path = scratch_path(spark, "log")
@@ -405,6 +430,11 @@ def padded_batches(spark, sf):
     )
 
 
+def padded_epoch(spark, sf):
+    batches = shuffled_batches(truncated_rows(spark, sf), BATCH, pad_id=0, keys=("doc_id",))
+    return batches.select("doc_id", "position", "batch_id", *[joined(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 def token_batches(spark, sf, size=VOCAB_CAP):
     """The whole way: documents to padded batches of real token ids."""
     tokens = stored(token_table(spark, sf, TRUNCATE, size=size), "tokens")
@@ -431,6 +461,27 @@ def stream_chunks(spark, sf):
     return sequences_as_text(spark.read.parquet(path))
 
 
+def _many_files(spark, sf) -> DataFrame:
+    """The documents as a stream of several batches, prepared."""
+    files = scratch_path(spark, "many-files")
+    documents(spark, sf).repartition(6, "doc_id").write.parquet(files)
+    return prepare_stream(stream_corpus(spark, files, "*.parquet", max_files_per_trigger=2), 0.1)
+
+
+def _counted(spark, stream: DataFrame, measures: dict) -> DataFrame:
+    path, ledger, checkpoint = (scratch_path(spark, name) for name in ("stream", "ledger", "stream-checkpoint"))
+    write_counted(stream, path, ledger, checkpoint, ("split",), measures)
+    return ledger_totals(spark, ledger, ledger_schema(stream, ("split",), tuple(measures)), ("split",))
+
+
+def stream_ledger(spark, sf):
+    return _counted(spark, _many_files(spark, sf), {"n_chars": F.length("text")})
+
+
+def stream_tokens(spark, sf, size=VOCAB_CAP):
+    return _counted(spark, encode_stream(_many_files(spark, sf), vocabulary(spark, sf, size)), {"n_tokens": F.size("input_ids")})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Rows and characters per split of the prepared corpus."""
     return corpus_report(prepare_corpus(documents(spark, "/root/testdata/sf0.001")))
@@ -456,6 +507,8 @@ def _vocabulary_queries(size: int) -> dict[str, Callable[[SparkSession, str], Da
         "tokenise_chunk": lambda s, sf: sequences_as_text(token_table(s, sf, CHUNK, size=size)),
         "tokenise_report": lambda s, sf: token_report(token_table(s, sf, CHUNK, size=size), CONTEXT),
         "token_batches": partial(token_batches, size=size),
+        "tokenizer_file": partial(tokenizer_file, size=size),
+        "stream_tokens": partial(stream_tokens, size=size),
     }
 
 
@@ -487,6 +540,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_split_files": split_files,
         "write_splits": write_and_read_splits,
         "reopen_split": reopen_split,
+        "write_shuffled": shuffled_splits,
+        "rows_by_index": indexed_rows,
         "bundle_splits": bundled_splits,
         "training_log": training_log,
         # rows and text
@@ -544,11 +599,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "epoch_order": ordered_epoch,
         "epoch_batches": epoch_batches,
         "pad_batches": padded_batches,
+        "padded_epoch": padded_epoch,
         "loss_curve": loss_curve,
         # streams
         "stream_prepare": stream_prepare,
         "stream_chunks": stream_chunks,
         "stream_progress": stream_progress,
+        "stream_ledger": stream_ledger,
     } | _vocabulary_queries(VOCAB_CAP) | _training_data("queries")
 
 
@@ -684,6 +741,13 @@ def oracle_sql() -> dict[str, str]:
         "read_split_files": _SPLIT_HASH,
         "write_splits": f"SELECT doc_id, reverse(text) AS text, split, 'reversed' AS orientation FROM ({_SPLIT_EXACT.format(size=0.1)})",
         "reopen_split": f"SELECT doc_id, reverse(text) AS text FROM ({_SPLIT_EXACT.format(size=0.1)}) WHERE split = 'valid'",
+        "write_shuffled": f"""
+SELECT doc_id, split, position, position AS disk_order
+FROM (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat('7:', doc_id)), doc_id) - 1 AS position FROM ({_SPLIT_EXACT.format(size=0.1)}))""",
+        "rows_by_index": """
+SELECT name, o_orderkey, position
+FROM (SELECT name, o_orderkey, row_number() OVER (ORDER BY name) - 1 AS position FROM (SELECT reverse(lpad(o_orderkey::VARCHAR, 12, '0')) AS name, o_orderkey FROM orders))
+WHERE position IN (0, 7, 5000, 11111)""",
         "bundle_splits": "SELECT conv_id, turn, role AS split FROM conversations WHERE role IS NOT NULL",
         "vocabulary_saved": _trained_sql(_VOCAB + "SELECT id, token, is_special FROM vocab"),
         "training_log": _LOG + "SELECT run, line AS value, count(*) AS n FROM lines GROUP BY run, line",
@@ -779,6 +843,10 @@ encoded AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM probed JOIN
         "tokenise_chunk": _trained_sql(
             _ENCODED + windows + "SELECT doc_id, chunk, 64::INT AS length, array_to_string(ids, ',') AS ids FROM windows"
         ),
+        "tokenizer_file": _trained_sql(_VOCAB + "SELECT id, token, is_special FROM vocab"),
+        "stream_tokens": _trained_sql(
+            _ENCODED + f"SELECT split, count(*) AS n_rows, sum(len(ids))::BIGINT AS n_tokens FROM encoded JOIN ({_SPLIT_HASH}) USING (doc_id) GROUP BY split"
+        ),
         "tokenise_report": _trained_sql(
             _ENCODED
             + windows
@@ -813,6 +881,14 @@ SELECT doc_id, batch_id,
        array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda x: 0)), ',') AS input_ids,
        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - len(ids)), lambda x: 0)), ',') AS attention_mask,
        array_to_string(list_concat(list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), list_transform(range(m - len(ids)), lambda x: -100)), ',') AS labels
+FROM wide""",
+        "padded_epoch": _LENGTHS
+        + """
+, wide AS (SELECT doc_id, position, position // 8 AS batch_id, ids, max(len(ids)) OVER (PARTITION BY position // 8) AS m FROM batched)
+SELECT doc_id, position, batch_id,
+       array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - len(ids)), lambda x: 0)), ',') AS attention_mask,
+       array_to_string(list_concat(list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), list_transform(range(m - len(ids)), lambda x: -100)), ',') AS labels
 FROM wide""",
         "token_batches": _trained_sql(
             _ENCODED
@@ -832,5 +908,6 @@ found AS (SELECT run, regexp_extract_all(log, '\{''loss'': ([\d\.]+),', 1) AS hi
 SELECT run, generate_subscripts(hits, 1) - 1 AS step, unnest(hits)::DOUBLE AS loss FROM found""",
         "stream_prepare": f"SELECT doc_id, reverse(text) AS text, split FROM ({_SPLIT_HASH})",
         "stream_progress": "SELECT count(*) AS n_rows FROM documents",
+        "stream_ledger": f"SELECT split, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM ({_SPLIT_HASH}) GROUP BY split",
         "stream_chunks": _LENGTHS + "SELECT doc_id, chunk::BIGINT AS chunk, 64::INT AS length, array_to_string(ids, ',') AS ids FROM cut",
     } | _training_data("oracle_sql")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananym.config import PAD, VocabConfig
-from ananym.operators.batches import assign_batches, collate, epoch_order
+from ananym.operators.batches import shuffled_batches
 from ananym.operators.encoding import BY_DOCUMENT, encode, may_fill_context
 from ananym.operators.limits import split_exact, split_hash, take_first
 from ananym.operators.rows import reverse_rows, select_columns
@@ -69,10 +69,10 @@ def tokenise_corpus(
 def training_batches(sequences: DataFrame, vocabulary: Vocabulary, batch_size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """One epoch of padded, labelled batches in shuffled order.
 
-    ``sequences`` is scanned twice, once for its keys alone, so it should be a stored table.
+    ``sequences`` is scanned once for its arrays and before that for its keys and lengths, so it should be a stored table.
     """
     pad_id = vocabulary.vocab.where(F.col("is_special") & (F.col("token") == PAD)).first()["id"]
-    batches = assign_batches(epoch_order(sequences, seed, epoch), batch_size)
-    return collate(batches, pad_id).select(
+    length = "length" if "length" in sequences.columns else None
+    return shuffled_batches(sequences, batch_size, pad_id, seed, epoch, length=length).select(
         "batch_id", "position", "doc_id", "chunk", "input_ids", "attention_mask", "labels"
     )

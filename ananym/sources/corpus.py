@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ananym.functions.hashing import seeded_hash
+from ananym.operators.limits import present
+from ananym.operators.order import indexed
+
 CORPUS_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
 )
@@ -79,6 +83,34 @@ def write_splits(df: DataFrame, path: str, mode: str = "errorifexists", max_reco
     writer.parquet(path)
 
 
+def write_shuffled(df: DataFrame, path: str, seed: int = 0, key: str = "doc_id", mode: str = "errorifexists") -> None:
+    """Write splits in a seeded random order that a sequential reader of the files meets: one folder per split.
+
+    ``position`` numbers the rows of a split from 0 in that order, which is that of the seeded hash of a unique key. Files hold
+    consecutive positions, in the order of their names, and rows stand in them by position; so a range of positions is
+    read from few files, and the order can be rebuilt whatever way Spark scans them.
+    """
+    hashed = df.withColumn("__digest", seeded_hash(seed, present(key)))
+    numbered = indexed(hashed, "__digest", [key], "position", by=("split",)).drop("__digest")
+    numbered.repartitionByRange("split", "position").sortWithinPartitions("split", "position").write.mode(mode).partitionBy("split").parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str, split: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows ``start`` to ``stop`` of a split that :func:`write_shuffled` wrote; the bounds reach the scan."""
+    rows = spark.read.parquet(path).where((F.col("split") == split) & (F.col("position") >= start))
+    return rows if stop is None else rows.where(F.col("position") < stop)
+
+
+def disk_order(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``disk_order``: the number from 0 of each row of Parquet files as they lie on disk, files by name, within each value of ``by``."""
+    placed = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before = Window.partitionBy(*by).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy(*by, "__file").agg(F.count("*").alias("__n"))
+    offsets = files.select(*by, "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    order = (F.col("__before") + F.col("__row")).cast("bigint")
+    return placed.join(offsets, [*by, "__file"]).withColumn("disk_order", order).drop("__file", "__row", "__before")
+
+
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Reopen what :func:`write_splits` wrote; naming a split prunes the other folders."""
     df = spark.read.parquet(path)

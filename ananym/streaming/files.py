@@ -8,12 +8,15 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ananym.operators.encoding import encode
 from ananym.operators.limits import split_hash
 from ananym.operators.rows import reverse_rows
 from ananym.operators.sequences import fit_context
+from ananym.operators.vocabulary import Vocabulary
 from ananym.session import scratch_path
 from ananym.sources.corpus import CORPUS_SCHEMA
 
@@ -38,6 +41,16 @@ def prepare_stream(corpus: DataFrame, test_size: float, seed: int = 0) -> DataFr
     return reverse_rows(split_hash(corpus, test_size, seed))
 
 
+def encode_stream(prepared: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id", "split"), match_special: bool = False) -> DataFrame:
+    """Token ids of streamed documents that read right to left, document by document and without state."""
+    return encode(prepared, vocabulary, keep, match_special=match_special)
+
+
+def running_token_totals(tokens: DataFrame, by: str = "split", ids: str = "input_ids") -> DataFrame:
+    """Rows and tokens so far for each ``by``, kept as state between the batches; the state has a row for each ``by``."""
+    return tokens.groupBy(by).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
 def cut_stream(tokens: DataFrame, context_length: int, mode: str) -> DataFrame:
     """Cut streamed token arrays to the context, in either mode."""
     return fit_context(tokens, context_length, mode)
@@ -93,8 +106,14 @@ def counting_rows(spark: SparkSession) -> RowCounter:
 
 
 def progress(query: StreamingQuery, counter: RowCounter, timeout: float = 60.0) -> int:
-    """Rows read so far by this run of a stream; for one that has ended, once its end has been told."""
+    """Rows read so far by this run of a stream; for one that has ended, once its end has been told.
+
+    An end that is not told within ``timeout`` seconds is an error, as some batches may be missing. Totals that outlive the session are
+    kept by :mod:`ananym.streaming.ledger`.
+    """
     until = time.monotonic() + timeout
-    while not query.isActive and str(query.runId) not in counter.ended and time.monotonic() < until:
+    while not query.isActive and str(query.runId) not in counter.ended:
+        if time.monotonic() > until:
+            raise TimeoutError("the end of the stream was not reported; its rows so far may be incomplete")
         time.sleep(0.05)
     return counter.rows.get(str(query.runId), 0)
