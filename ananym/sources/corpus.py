@@ -122,14 +122,35 @@ def read_split_files(spark: SparkSession, files: dict[str, str], fmt: str = "par
     return bundle_splits({name: spark.read.format(fmt).load(path) for name, path in files.items()})
 
 
+MANIFEST_SCHEMA = "plan int, files bigint, files_digest string"
+
+
+def _manifest(df: DataFrame) -> DataFrame:
+    """What a copy was made from: the plan, with its paths, columns and predicates, and its files with their sizes and times."""
+    files = df.inputFiles()
+    row = df.sparkSession.range(1).select(F.lit(df.semanticHash()).cast("int").alias("plan"))
+    if not files:
+        return row.select("plan", F.lit(0).cast("bigint").alias("files"), F.lit("0").alias("files_digest"))
+    # Only the listing is read, not the files; the digest does not depend on their order.
+    listed = df.sparkSession.read.format("binaryFile").load(files)
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return row.crossJoin(listed.agg(F.count("*").alias("files"), F.sum(each).cast("string").alias("files_digest")))
+
+
 def keep_copy(df: DataFrame, path: str) -> DataFrame:
-    """Keep a copy of a remote corpus: written at the first call, reused once it is complete.
+    """Keep a copy of a remote corpus: written at the first call and reused as long as it is a copy of the same rows.
 
-    Spark marks a finished copy; a folder without the mark is what a broken run left and is written again.
+    A manifest beside the copy, written last, says what it was made from. If it is missing, because a run broke off, or names
+    another source, subset or set of columns, or files that have changed since, the copy is written again. Two plans are told
+    apart by Spark's 32-bit hash of them.
     """
     spark = df.sparkSession
+    wanted = _manifest(df).first()
     try:
-        spark.read.text(f"{path}/_SUCCESS", wholetext=True).limit(1).collect()
+        found = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/_manifest").collect()
     except AnalysisException:
+        found = []
+    if found != [wanted]:
         df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        spark.createDataFrame([wanted], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return spark.read.schema(df.schema).parquet(path)

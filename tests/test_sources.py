@@ -55,7 +55,7 @@ def test_splits_round_trip_and_prune(spark, docs, tmp_path):
 def test_copy_is_kept(spark, docs, tmp_path):
     path = str(tmp_path / "copy")
     assert keep_copy(docs, path).count() == 100
-    assert keep_copy(docs.limit(1), path).count() == 100
+    assert keep_copy(docs, path).count() == 100
 
 
 def test_shared_folder_comes_from_the_session(spark, docs):
@@ -167,13 +167,29 @@ def test_text_keys_do_not_depend_on_the_reading(spark, tmp_path):
             spark.conf.set(k, v)
 
 
-def test_a_broken_copy_is_written_again(spark, tmp_path):
-    path = str(tmp_path / "copy")
-    whole = spark.range(1000).selectExpr("id AS doc_id", "'x' AS text")
-    whole.limit(10).write.parquet(path)
-    (tmp_path / "copy" / "_SUCCESS").unlink()
-    assert keep_copy(whole, path).count() == 1000
-    assert keep_copy(whole.limit(3), path).count() == 1000
+def test_a_copy_is_kept_while_it_is_one(spark, tmp_path):
+    """Reused for the same rows; written again after a broken run, for another subset, and when the source has changed."""
+    source, path = str(tmp_path / "source"), tmp_path / "copy"
+    spark.range(1000).selectExpr("id AS doc_id", "'x' AS text", "id % 3 AS part").write.parquet(source)
+
+    def names():
+        return {f.name for f in path.glob("part-*")}
+
+    whole = read_corpus(spark, source)
+    assert keep_copy(whole, str(path)).count() == 1000
+    first = names()
+    assert keep_copy(read_corpus(spark, source), str(path)).count() == 1000
+    assert names() == first
+    for file in (path / "_manifest").glob("part-*"):
+        file.unlink()
+    assert keep_copy(whole, str(path)).count() == 1000
+    assert not names() & first
+    assert keep_copy(whole.where("doc_id < 30"), str(path)).count() == 30
+    assert keep_copy(whole.where("doc_id < 40"), str(path)).count() == 40
+    assert keep_copy(whole.select("text"), str(path)).columns == ["text"]
+    assert keep_copy(whole, str(path)).count() == 1000
+    spark.range(5).selectExpr("id + 5000 AS doc_id", "'y' AS text", "id AS part").write.mode("append").parquet(source)
+    assert keep_copy(read_corpus(spark, source), str(path)).count() == 1005
 
 
 def test_keys_for_a_corpus_without(spark, tmp_path):
