@@ -91,7 +91,7 @@ def _classes(vectors: DataFrame, vector: str, key: str, label: str) -> DataFrame
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cell numbers of every vector: one home and several probes in each table."""
+    """Cell numbers of every vector, table by table: its home and then its probes. Vectors of one kind share a cell if they share a bucket."""
     for batch in batches:
         sizes = np.asarray(batch.column(2).value_lengths())
         for size in np.unique(sizes):
@@ -102,20 +102,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = np.asarray(part.column(1)).astype(np.int64).view(np.uint64)
             table = mix64(np.arange(TABLES, dtype=np.uint64) + np.uint64(1))
             cells = mix64(mix64(buckets.view(np.uint64) + table[None, :, None]) ^ kind[:, None, None])
-            each = TABLES * PROBES
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(np.repeat(np.arange(len(x)), each))),
-                    signed(cells.reshape(-1)),
-                    pa.array(np.tile(np.arange(each) // PROBES, len(x)).astype(np.int32)),
-                    pa.array(np.tile(np.arange(each) % PROBES == 0, len(x))),
-                ],
-                names=["id", "cell", "table", "home"],
-            )
+            flat = signed(cells.reshape(-1))
+            offsets = pa.array(np.arange(len(x) + 1) * TABLES * PROBES, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "cells"])
 
 
 class _Vectors:
-    """Rows of one cell: ids, weights, kinds, unit vectors and all their buckets."""
+    """Rows of one cell: ids, weights, kinds, vectors with their lengths, and all cells that each is in."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.id = np.asarray(batch.column("id")).astype(np.int64)
@@ -124,6 +117,8 @@ class _Vectors:
         x = matrix(batch.column("vector"))
         self.norm = np.sqrt((x * x).sum(axis=1))
         self.x = x
+        cells = pa.concat_arrays([batch.column("cells")])
+        self.cells = np.asarray(cells.flatten()).reshape(len(x), TABLES, PROBES)
 
 
 def _linked(homes: _Vectors, probers: _Vectors, table: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,15 +134,11 @@ def _linked(homes: _Vectors, probers: _Vectors, table: int, least: float) -> tup
     a, b = np.concatenate(a_all), np.concatenate(b_all)
     if not len(a):
         return a, b
-    used_a, at_a = np.unique(a, return_inverse=True)
-    used_b, at_b = np.unique(b, return_inverse=True)
-    sign_a = signatures(homes.x[used_a] / homes.norm[used_a, None])
-    sign_b = signatures(probers.x[used_b] / probers.norm[used_b, None])
     first = np.ones(len(a), bool)
     for begin in range(0, len(a), PAIR_BLOCK // 8):
         part = slice(begin, begin + PAIR_BLOCK // 8)
-        sa, sb = sign_a[at_a[part]], sign_b[at_b[part]]
-        to_a = (sb == sa[:, :, :1]).any(axis=2)  # the prober reaches the home's bucket, by table
+        sa, sb = homes.cells[a[part]], probers.cells[b[part]]
+        to_a = (sb == sa[:, :, :1]).any(axis=2)  # the prober reaches the home's cell, by table
         to_b = (sa == sb[:, :, :1]).any(axis=2)
         earlier = (to_a | to_b)[:, :table].any(axis=1)
         both = to_b[:, table] & (homes.id[a[part]] < probers.id[b[part]])
@@ -208,7 +199,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, vector: str
     classes = written(
         usable.groupBy("kind", "h", "g").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min_by("vector", "id").alias("vector")), "vector-classes"
     )
-    cells = written(classes.select("id", "kind", "vector").mapInArrow(_sign, "id long, cell long, table int, home boolean"), "vector-cells")
+    signed_rows = written(classes.select("id", "kind", "vector").mapInArrow(_sign, "id long, cells array<long>"), "vector-cells")
+    place = F.col("place")
+    cells = signed_rows.select("id", F.posexplode("cells").alias("place", "cell"))
+    cells = cells.select("id", "cell", F.floor(place / PROBES).cast("int").alias("table"), (place % PROBES == 0).alias("home"))
     busy = cells.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("probers")).where("homes > 0 and probers > 1")
     busy = busy.select("cell", F.ceil(F.col("homes") / HOME_CHUNK).alias("chunks"), F.ceil(F.col("probers") / PROBER_CHUNK).alias("sides"))
     busy = written(busy, "vector-busy")  # a table of its own, so that Spark can split a hot cell of the join
@@ -218,8 +212,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, vector: str
     homes = met.where("home").withColumn("chunk", F.pmod(salt, "chunks").cast("int")).withColumn("side", every("sides")).withColumn("prober", F.lit(False))
     probers = met.withColumn("side", F.pmod(salt, "sides").cast("int")).withColumn("chunk", every("chunks")).withColumn("prober", F.lit(True))
     columns = ["id", "cell", "table", "chunk", "side", "prober"]
-    sides = homes.select(columns).union(probers.select(columns)).join(classes.hint("merge"), "id")
-    dealt = sides.select(*columns, "weight", "kind", "vector").repartition("cell", "chunk", "side").sortWithinPartitions("cell", "chunk", "side", "prober", "id")
+    # A vector travels with its cells, so that the first cell of a pair is known without hashing again.
+    whole = classes.join(signed_rows.hint("merge"), "id").select("id", "weight", "kind", "vector", "cells")
+    sides = homes.select(columns).union(probers.select(columns)).join(whole.hint("merge"), "id")
+    dealt = sides.select(*columns, "weight", "kind", "vector", "cells").repartition("cell", "chunk", "side").sortWithinPartitions("cell", "chunk", "side", "prober", "id")
     found = written(dealt.mapInArrow(_links(least), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-groups")
