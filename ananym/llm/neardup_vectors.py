@@ -83,7 +83,8 @@ def _classes(vectors: DataFrame, vector: str, key: str, label: str) -> DataFrame
     usable = F.col(key).isNotNull() & F.col(label).isNotNull() & F.coalesce(finite & F.exists(doubles, lambda x: x != 0), F.lit(False))
     # A common scale keeps the squares of very large or small components finite.
     scale = F.array_max(F.transform(doubles, lambda x: F.abs(x)))
-    scaled = F.transform(doubles, lambda x: x / scale)
+    # The scale is a lambda's variable, so that it is not looked for again for each component.
+    scaled = F.element_at(F.transform(F.array(scale), lambda most: F.transform(doubles, lambda x: x / most)), 1)
     return vectors.select(
         F.col(key).cast("long").alias("id"), F.when(usable, F.xxhash64(F.col(label).cast("string"), F.size(vector))).alias("kind"),
         F.when(usable, F.xxhash64(doubles)).alias("h"), F.when(usable, F.hash(doubles)).alias("g"), F.when(usable, scaled).alias("vector"),
