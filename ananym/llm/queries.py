@@ -25,11 +25,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark, sf):
-    """Per document: the words that the mix takes, in training order of its first copy."""
+    """Per document: the words that the mix takes, and when its copies come, in millionths of the training run (-1: not taken); in order of the first."""
     placed = mixing.curriculum(_table(spark, sf, "documents"), mixing.word_count(), ["doc_id"])
-    placed = placed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
+    for name, nth in (("first_position", 1), ("second_position", 2)):
+        placed = placed.withColumn(name, F.coalesce(F.floor(F.try_element_at("positions", F.lit(nth)) * 1e6 + 0.5), F.lit(-1)))
     ordered = placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
-    return ordered.drop("positions", "first_position")
+    return ordered.drop("positions")
 
 
 def op2_neardup_vectors(spark, sf):
@@ -125,13 +126,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _demand_sql(begin: str) -> str:
+    """When a source's demand, the integral of its weight schedule, reaches a copy that begins after ``begin`` of its words."""
+
+    def inverse(schedule: tuple[float, ...]) -> str:
+        step, done, pieces = 1 / (len(schedule) - 1), 0.0, []
+        areas = [step * (a + b) / 2 for a, b in zip(schedule, schedule[1:])]
+        for i, (a, b) in enumerate(zip(schedule, schedule[1:])):
+            y = f"(({begin} / target) - {done / sum(areas)!r}e0) * {sum(areas)!r}e0"
+            root = f"{a!r}e0 + sqrt(greatest(0e0, {a * a!r}e0 + {2 * (b - a) / step!r}e0 * ({y})))"
+            done += areas[i]
+            until = f"WHEN ({begin} / target) < {done / sum(areas)!r}e0 THEN" if i < len(areas) - 1 else "ELSE"
+            pieces.append(f"{until} {i * step!r}e0 + CASE WHEN ({y}) <= 0 THEN 0e0 ELSE 2e0 * ({y}) / ({root}) END")
+        return f"least(1e0, greatest(0e0, CASE {' '.join(pieces)} END))"
+
+    places = " ".join(f"WHEN {i} THEN {inverse(s)}" for i, s in enumerate(mixing.SCHEDULES))
+    return f"floor((CASE place % {len(mixing.SCHEDULES)} {places} END) * 1e6 + 0.5e0)::BIGINT"
+
+
 _OP1 = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS place
   FROM documents
 ),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth, nth % 3 AS place,
+         [5.0, 2.0, 1.0][(nth % 3 + 1)::INT]::DOUBLE AS weight
   FROM sized GROUP BY source
 ),
 levels AS (SELECT *, 2 * source_size / weight AS level FROM sources),
@@ -141,17 +163,22 @@ reached AS (
   FROM levels
 ),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, place,
          CASE WHEN level <= reach THEN (2 * source_size)::DOUBLE
               ELSE weight * (SELECT reach FROM reached WHERE level > reach ORDER BY level, source NULLS LAST LIMIT 1) END AS target
   FROM reached
 ),
 placed AS (
-  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM sized
+  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY place, size, doc_id ROWS UNBOUNDED PRECEDING) - size)::DOUBLE AS before FROM sized
+),
+copies AS (
+  SELECT *, size > 0 AND before + size / 2 < target AS first, size > 0 AND source_size + before + size / 2 < target AS second
+  FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 )
-SELECT doc_id, size, source_size, target,
-       (size * ((before + size / 2 < target)::INT + (source_size + before + size / 2 < target)::INT))::BIGINT AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source"""
+SELECT doc_id, size, source_size, target, (size * (first::INT + second::INT))::BIGINT AS taken,
+       CASE WHEN first THEN {_demand_sql("before")} ELSE -1 END AS first_position,
+       CASE WHEN second THEN {_demand_sql("(before + source_size)")} ELSE -1 END AS second_position
+FROM copies"""
 _OP4 = f"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 windows AS (SELECT doc_id, s, list_slice(w, s, s + 19) AS words FROM texts, unnest(generate_series(1, len(w) - 19)) AS g(s) WHERE len(w) >= 20),
