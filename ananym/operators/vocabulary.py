@@ -22,7 +22,7 @@ MAX_VOCAB = 1 << ID_BITS
 END_OF_SYMBOLS = chr(0x10FFFF)
 
 # What the driver may hold in one round: pairs, distinct runs of them, and symbols in those runs.
-MAX_PAIRS = 16_384
+MAX_PAIRS = 32_768
 MAX_RUNS = 200_000
 MAX_RUN_SYMBOLS = 1_000_000
 FIRST_PAIRS = 64
