@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 256
 FAN_OUT = 64
 TOP_BUCKETS = 2048
+#: Ranges with more than this share of the rows are cut again by a further number.
+CROWDED_RANGES = 4096
+#: Natural numbers from here on share one range of ``running_totals``.
+SMALL_NUMBERS = 1 << 20
 SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -43,14 +47,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 # --- running totals -------------------------------------------------------------------------------
 
 
-def _bucket_offsets(sums: DataFrame, by: list[str], n_buckets: int) -> DataFrame:
-    """Exclusive running total of ``__sum`` over ``__b`` within ``by``; windows see at most ``TOP_BUCKETS`` rows."""
+def _bucket_offsets(sums: DataFrame, by: list[str], n_buckets: int, starts: DataFrame | None = None) -> DataFrame:
+    """Exclusive running total of ``__sum`` over ``__b`` within ``by``; windows see at most ``TOP_BUCKETS`` rows.
+
+    ``starts`` gives the total (``__start``) at which each value of ``by`` begins; 0 without it.
+    """
     if n_buckets <= TOP_BUCKETS:
         before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(*by, "__b", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+        offsets = sums.select(*by, "__b", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+        return offsets if starts is None else offsets.join(starts, by).select(*by, "__b", (F.col("__offset") + F.col("__start")).alias("__offset"))
     coarse = F.expr(f"__b div {FAN_OUT}")
     upper = sums.groupBy(*by, coarse.alias("__b")).agg(F.sum("__sum").alias("__sum"))
-    upper = _bucket_offsets(upper, by, -(-n_buckets // FAN_OUT)).withColumnsRenamed({"__b": "__c", "__offset": "__base"})
+    upper = _bucket_offsets(upper, by, -(-n_buckets // FAN_OUT), starts).withColumnsRenamed({"__b": "__c", "__offset": "__base"})
     near = Window.partitionBy(*by, "__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     inside = sums.withColumn("__c", coarse).withColumn("__offset", F.coalesce(F.sum("__sum").over(near), F.lit(0)))
     return inside.join(upper, [*by, "__c"]).select(*by, "__b", (F.col("__offset") + F.col("__base")).alias("__offset"))
@@ -62,27 +70,48 @@ def hash_order(column: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, n_rows: int, out: str) -> DataFrame:
+def spread(*columns: Column | str) -> Column:
+    """60 bits of Spark's own hash of some columns: an evenly spread number."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 4)
+
+
+def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, n_rows: int, out: str, small: frozenset[str] = frozenset(), starts: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the total of ``value`` over the rows before this one, in the order of ``order`` within ``by``.
 
-    The first order column is an evenly spread number of 60 bits (``hash_order``); ``by`` columns must not be null. Rows fall
-    into about ``n_rows / 256`` ranges of that number; totals of ranges are summed up level by level, and only rows of one range and
-    one ``by`` are ranked together. So neither a hot ``by`` value nor the whole table meets in one task. Rows equal
-    in all of ``order`` are interchangeable.
+    Order columns are evenly spread numbers of 60 bits (``hash_order``, ``spread``), or small natural numbers if named in
+    ``small``; they and ``by`` must not be null, and the last should tell all rows apart. ``df`` is read several times and must be
+    a written table. Rows fall into about ``n_rows / 256`` ranges of the first number; totals of ranges are summed up level by level, and
+    only rows of one range and one ``by`` are ranked together. Ranges are even unless the number repeats: those with
+    more than a 4,096th of the rows, of which there are at most 4,096, are not ranked but cut again, by the next number within
+    equal values of this one. So neither a hot ``by`` value, nor a hot key, nor rows that repeat meet in one task.
     """
-    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
-    # The number's upper 32 bits times the count of ranges stay within 63 bits.
-    bucket = F.shiftright(F.shiftright(order[0], 28) * F.lit(buckets).cast("long"), 32)
+    first = order[0]
+    if first in small:
+        buckets = SMALL_NUMBERS
+        bucket = F.least(F.col(first), F.lit(buckets - 1))
+    else:
+        buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
+        # The number's upper 32 bits times the count of ranges stay within 63 bits.
+        bucket = F.shiftright(F.shiftright(first, 28) * F.lit(buckets).cast("long"), 32)
     hashed = df.withColumn("__b", bucket.cast("long"))
-    sums = hashed.groupBy(*by, "__b").agg(F.sum(value).alias("__sum"))
-    offsets = _bucket_offsets(sums, by, buckets)
+    sums = written(hashed.groupBy(*by, "__b").agg(F.sum(value).alias("__sum"), F.count("*").alias("__rows")), "total-ranges")
+    offsets = _bucket_offsets(sums, by, buckets, starts)
+    crowded = sums.where(F.col("__rows") > max(4 * BUCKET_ROWS, n_rows // CROWDED_RANGES)).select(*by, "__b", "__rows")
+    n_crowded = crowded.agg(F.sum("__rows")).first()[0] if len(order) > 1 else None
+    # At most CROWDED_RANGES rows, as each stands for more than that share of the table.
+    crowded = F.broadcast(crowded.drop("__rows"))
+    ranked = hashed.join(crowded, [*by, "__b"], "left_anti") if n_crowded else hashed
     inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return (
-        hashed.join(offsets.hint("merge"), [*by, "__b"])
-        .withColumn(out, (F.col("__offset") + earlier).cast("long"))
-        .drop("__b", "__offset")
-    )
+    ranked = ranked.join(offsets.hint("merge"), [*by, "__b"]).select(*df.columns, (F.col("__offset") + earlier).cast("long").alias(out))
+    if not n_crowded:
+        return ranked
+    again = hashed.join(crowded, [*by, "__b"], "left_semi")
+    before = Window.partitionBy(*by, "__b").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    own = again.groupBy(*by, "__b", first).agg(F.sum(value).alias("__sum")).withColumn("__earlier", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    begun = own.join(offsets, [*by, "__b"]).select(*by, first, (F.col("__earlier") + F.col("__offset")).alias("__start"))
+    deeper = running_totals(again.drop("__b"), [*by, first], order[1:], value, n_crowded, out, small, written(begun, "total-starts"))
+    return ranked.unionByName(deeper.select(*df.columns, out))
 
 
 # --- words of Arrow batches -----------------------------------------------------------------------

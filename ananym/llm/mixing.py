@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ananym.llm.common import WORD, hash_order, prepare_session, running_totals, written
+from ananym.llm.common import WORD, hash_order, prepare_session, running_totals, spread, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -86,9 +86,11 @@ def curriculum(
     spark = docs.sparkSession
     prepare_session(spark)
     wanted = docs.select(hash_order(F.col(key)).alias("__id"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"), source_key(source).alias("__key"), *keep)
+    # Rows of one key stand in the order of size, then of what is kept; equal rows in any order.
+    wanted = wanted.withColumns({"__rest": spread(*keep), "__salt": spread(F.monotonically_increasing_id())})
     sized = written(wanted, "mix-sizes")
     targets = written(source_targets(sized, weights, share), "mix-targets")
-    placed = running_totals(sized, ["__key"], ["__id", "__size", *keep], "__size", sized.count(), "__before")
+    placed = running_totals(sized, ["__key"], ["__id", "__size", "__rest", "__salt"], "__size", sized.count(), "__before", frozenset({"__size"}))
     joined = placed.join(targets, "__key")
     size_, target, start = F.col("__size"), F.col("target"), F.col("__before")
     copies, begun = F.lit(0), []

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ananym.llm.common import hash_order, mix64, prepare_session, running_totals, written
+from ananym.llm.common import hash_order, mix64, prepare_session, running_totals, spread, written
 
 ROUNDS = 6
 LAW = "rows"
@@ -59,9 +59,11 @@ def shard_rows(docs: DataFrame, n_shards: int, seed: int = 0, text: str = "text"
     keep = keep or [key]
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(hash_order(F.col(key)).alias("__id"), (F.octet_length(content) + 16).cast("long").alias("__size"), F.crc32(content).alias("__crc"), F.lit(1).alias("__one"), *keep)
-    rows = written(rows, "shard-rows")
+    # The checksum's 32 bits are spread evenly, so they cut rows of a hot key; equal rows are cut by a number of their own.
+    cuts = {"__content": F.shiftleft(F.col("__crc").cast("long"), 28), "__rest": spread("__size", *keep), "__salt": spread(F.monotonically_increasing_id())}
+    rows = written(rows.withColumns(cuts), "shard-rows")
     n = rows.count()
-    numbered = running_totals(rows, [], ["__id", "__crc", "__size", *keep], "__one", n, "__number")
+    numbered = running_totals(rows, [], ["__id", "__content", "__rest", "__salt"], "__one", n, "__number")
     dealt = numbered.withColumn("__p", permuted(F.col("__number"), n, seed))
     return dealt.select(
         *keep,
