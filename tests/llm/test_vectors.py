@@ -124,3 +124,60 @@ def test_search_stops_by_bounds(spark):
         best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert out == want
+
+
+def exact_search(rows, every: int) -> list[tuple[int, int, int, int]]:
+    """Plain search in Python's whole numbers; ``rows`` are (id, whole components)."""
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), k) for k, y in rows if k != q)[:10]
+            out += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size, dim", [(30.0, 16), (1e4, 16), (5e5, 7), (2e5, 64)])
+def test_search_is_exact_at_any_size(spark, size, dim):
+    """Products up to the end of a long, where sums in doubles would be rounded."""
+    random = np.random.default_rng(6)
+    base = random.normal(size=(5, dim))
+    data = [(i, ((base[i % 5] + random.normal(size=dim) * 0.01) * size).tolist()) for i in range(200)]
+    rows = [(i, [math.floor(1024 * c) for c in x]) for i, x in data]
+    out = topk.top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, out.collect())) == exact_search(rows, 20)
+
+
+def test_search_of_short_queries_and_long_vectors(spark):
+    """One side's components need three pieces."""
+    data = [(i, [float(i % 7 - 3) / 1024, 2.0 / 1024] if i % 10 == 0 else [(2.0**49 + 3 * i) / 1024 * (-1) ** i, (2.0**50 - i) / 1024]) for i in range(60)]
+    rows = [(i, [math.floor(1024 * c) for c in x]) for i, x in data]
+    out = topk.top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 10)
+    want = [(q, r, k, s) for q, r, k, s in exact_search(rows, 10) if q % 20 == 10]
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_search_refuses_scores_beyond_a_long(spark):
+    data = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_inner_products(data, F.lit(True))
+
+
+def test_products_of_pieces():
+    random = np.random.default_rng(8)
+    for high_q, high_x, dim in ((10, 10, 5), (40, 20, 64), (29, 29, 7), (55, 3, 3), (2, 57, 9)):
+        q, x = (random.integers(-(2**h), 2**h, size=(6, dim)) for h in (high_q, high_x))
+        want = [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
+        assert topk.inner_products(q, x).tolist() == want
+
+
+def test_many_blocks_of_queries(spark, monkeypatch):
+    """Small blocks on both sides, with and without lists of the blocks that want a ring."""
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 3)
+    monkeypatch.setattr(topk, "DATA_CHUNK", 20)
+    random = np.random.default_rng(9)
+    data = [(i, (np.eye(6)[i % 6] * (i % 3) + random.normal(size=6) * 0.05).tolist()) for i in range(400)]
+    rows = [(i, [math.floor(1024 * c) for c in x]) for i, x in data]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for most in (1 << 22, 0):
+        monkeypatch.setattr(topk, "LISTED_SIDES", most)
+        assert sorted(map(tuple, topk.top_inner_products(table, F.col("vec_id") % 8 == 0).collect())) == exact_search(rows, 8)
