@@ -142,8 +142,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, scale: int = 1024,
     Components become floor(scale * x). Every vector is keyed by its nearest pivot and a ring of its distance to it. For a query
     q at distance D of a pivot, a vector x whose distance lies in [r, R] is at least max(0, r - D, D - R) away, which bounds its
     score by (|q|^2 + |x|^2 - gap^2) / 2. Every query first searches the rings with the greatest bounds; its k-th best
-    score then stops all rings bounded below it, and the rest is searched in further steps. Queries whose own ring is the same are asked together,
-    in bounded blocks, and a ring's vectors go only to blocks with a query that still wants them.
+    score then stops all rings bounded below it, and the rest is searched in further steps. Queries whose own rings are the same or neighbours are asked
+    together, in bounded blocks, and a ring's vectors go only to blocks with a query that still wants them.
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller id; fewer rows if there are fewer candidates. Scores are exact
     whole numbers; if the longest query times the longest vector reaches 2^63, so that a long might not hold a score, an
@@ -190,14 +190,20 @@ def top_inner_products(vectors: DataFrame, is_query: Column, scale: int = 1024,
     rings = placed.groupBy("pivot", "cell").agg(F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.max("norm").alias("longest"), F.count("*").alias("n"))
     rings = written(rings.withColumn("parts", F.ceil(F.col("n") / DATA_CHUNK)), "search-rings")
 
-    # An id asks once: among several rows the least vector does. Blocks of queries ("sides") hold queries of one ring.
+    # An id asks once: among several rows the least vector does. Blocks of queries ("sides") hold queries of one ring, or of neighbouring ones.
     asking = placed.where("asks").groupBy("id").agg(F.min(F.struct("vector", "norm", "distances", "cell")).alias("own")).select("id", "own.*")
     asking = written(asking, "search-queries")
-    blocks, sides = [], 0
+    blocks, sides, room = [], 0, 0
     for r in asking.groupBy("cell").count().orderBy("cell").collect():
         own = -(-r["count"] // QUERY_CHUNK)
-        blocks.append((r["cell"], sides, own))
-        sides += own
+        if own == 1 and r["count"] <= room:
+            # Neighbouring rings with few queries share a block.
+            blocks.append((r["cell"], sides - 1, 1))
+            room -= r["count"]
+        else:
+            blocks.append((r["cell"], sides, own))
+            sides += own
+            room = QUERY_CHUNK - r["count"] if own == 1 else 0
     begin = F.create_map(*[F.lit(x) for c, first, _ in blocks for x in (c, first)])
     within = F.create_map(*[F.lit(x) for c, _, own in blocks for x in (c, own)])
     side = F.element_at(begin, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(within, F.col("cell"))).cast("int")
