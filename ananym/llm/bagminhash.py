@@ -289,7 +289,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, text: str = "text", k
 
 
 def deduplicate(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group, the one with the least key; rows that repeat in key and text become one row."""
+    """``docs`` with one document of each group, the one with the least key; rows that repeat in key and text become one row.
+
+    Rows with a null key or a null text are all kept. An empty table stays empty.
+    """
     # All columns travel in one struct, so that no name of theirs can clash.
     h1, h2 = _text_hashes(F.col(text))
     names = ["__id", "__h1", "__h2"]

@@ -127,7 +127,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     """The documents that the mix takes, one row per copy, in training order; columns of ``docs``.
 
     Positions are found for hashes of rows, without texts; one join then brings the rows back. Rows equal in all columns are
-    placed each for itself.
+    placed each for itself. An empty table stays empty.
     """
     nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
     values = [F.col(f"`{c}`") for c in docs.columns]

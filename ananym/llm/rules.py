@@ -222,7 +222,11 @@ def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float = LASSO) -> tuple[np.
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> RuleModel:
-    """Learn rules from at most ``rows`` labelled texts. Without labels of both kinds the score is constant."""
+    """Learn rules from at most ``rows`` labelled texts. Without labels of both kinds, or without documents, the score is constant.
+
+    Null labels, labels with a null key and labels without a document are left out; a key with several labels takes the largest. Documents with
+    one key all count with its label; null texts count as empty ones, long ones are measured whole.
+    """
     prepare_session(docs.sparkSession)
     sample = training_sample(docs, labels, label, rows, text, key)
     measured = written(with_statistics(sample.withColumn("label", F.col("label").cast("int")), "text", ["id", "label"]), "quality-sample")
@@ -239,7 +243,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` with ``score``: how likely a text is of quality, by its statistics alone. Null and empty texts get the score of an empty text."""
+    """``keep`` with ``score``: how likely a text is of quality, by its statistics alone.
+
+    Whole texts are measured, however long. Null and empty texts get the score of an empty text, equal texts equal scores; rows that repeat
+    stay. An empty table gives an empty table.
+    """
     keep = keep or ["doc_id"]
     measured = with_statistics(docs, text, keep)
     return measured.select(*keep, model.column().alias("score"))

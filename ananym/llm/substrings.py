@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
     """Remove every word that lies in a repeated window of ``span`` words, other than at the window's first occurrence.
 
     First is by key, then place in the document. Windows are judged on the input. Words are runs without ASCII white space,
-    compared byte by byte through 128 bits of hash. Returns ``keep`` with ``n_words, n_removed`` and ``kept``: the text
+    compared byte by byte through one 64-bit hash each, so two words that share a hash would count as equal. Returns ``keep`` with ``n_words, n_removed`` and ``kept``: the text
     without those words and the white space before each, other characters as they were. A null text has no words (``kept`` is null). Rows with the same
     key and text count as one document and get the same result; among rows with one key the content's hash decides
     the order; null keys come last. ``key`` is an integer column. An empty table gives an empty table.

@@ -126,8 +126,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 
     Features (words, and their beginnings) that tell the labels apart best are chosen by counts in Spark. Grades: 0 without the label;
     with it 1, and one more for each step of ``GRADE_STEPS`` that the number of words with a marked feature reaches.
-    The driver sees the chosen features of the sample only, both bounded. Without labelled rows of both kinds every
-    text gets severity 0.
+    The driver sees the chosen features of the sample only, both bounded. Without labelled rows of both kinds, or without documents, every
+    text gets severity 0. Null labels, labels with a null key and labels without a document are left out; a key with several labels takes the
+    largest. Null texts count as empty ones.
     """
     spark = docs.sparkSession
     prepare_session(spark)
@@ -184,7 +185,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 def score_severity(docs: DataFrame, model: SeverityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (the key by default) with ``severity`` (expected grade), ``p_toxic`` (P of any grade above 0) and ``rejected``.
 
-    Whole texts are scored; a null or empty text has no features. Rows that repeat get equal scores.
+    Whole texts are scored, however long; a null or empty text has no features. Rows that repeat get equal scores and stay. An
+    empty table gives an empty table.
     """
     prepare_session(docs.sparkSession)
     keep = keep or ["doc_id"]
@@ -206,7 +208,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, text: str = "text", ke
 
 
 def without_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
+    """The rows of ``docs`` that are not rejected, with their columns; rows that repeat stay or go together. An empty table stays empty."""
     # All columns travel in one struct, so that no name of theirs can clash.
     rows = docs.select(F.col(text).alias("__text"), F.struct("*").alias("__row"))
     return score_severity(rows, model, "__text", ["__row"]).where(~F.col("rejected")).select("__row.*")
