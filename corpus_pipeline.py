@@ -12,18 +12,18 @@ from ananym.llm.queries import tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model does not reject."""
+    """Documents that the severity model does not reject; null and empty texts stay, as do repeated rows. An empty table stays empty, here and below."""
     model = toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; all rows with a null key or a null text stay."""
     return bagminhash.deduplicate(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with passages that stand earlier in the corpus cut out."""
+    """All documents, with passages that stand earlier in the corpus cut out; a null text stays null, repeated rows are cut alike."""
     return substrings.without_repeats(docs, length="n_chars")
 
 
@@ -33,7 +33,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents' pieces in packed sequences."""
+    """Token ids of the documents' pieces in packed sequences; a null or empty text is its closing id alone, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path(), as_array=True)
 
 
