@@ -448,8 +448,9 @@ def token_batches(spark, sf, size=VOCAB_CAP):
 
 
 def stream_prepare(spark, sf):
+    """The table is one file or a folder of them; to a stream only a pattern may name either."""
     path = scratch_path(spark, "stream")
-    write_available(prepare_stream(stream_corpus(spark, sf, "documents.parquet"), 0.1), path, partition_by=["split"])
+    write_available(prepare_stream(stream_corpus(spark, f"{sf}/documents.parque[t]"), 0.1), path, partition_by=["split"])
     return read_splits(spark, path).select("doc_id", "text", "split")
 
 

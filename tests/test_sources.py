@@ -210,3 +210,16 @@ def test_progress_counts_more_batches_than_spark_remembers(spark, tmp_path):
     finally:
         spark.streams.removeListener(counter)
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+
+
+@pytest.mark.parametrize("files", [None, 1, 3])
+def test_stream_of_a_table_in_one_or_several_files(spark, tmp_path, files):
+    import __spark_entry__ as entry
+
+    docs = from_rows(spark, [(i, f"text {i}") for i in range(50)])
+    if files:
+        docs.repartition(files, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = entry.stream_prepare(spark, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(i, f"text {i}"[::-1]) for i in range(50)]
