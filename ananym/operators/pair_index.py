@@ -24,6 +24,8 @@ SYMBOL_BASE = 0x10000
 ID_BITS = 20
 BLOCK_SYMBOLS = 1 << 16
 LONG_WORD = 64
+# Steps of the logarithm by which pairs are counted by frequency.
+FREQUENCY_STEPS = 64
 NEVER = np.iinfo(np.int64).max
 
 _ARRAYS = {"symbols": np.int32, "starts": np.int64, "counts": np.int64, "keys": np.int64, "owners": np.int32}
@@ -316,9 +318,20 @@ class PairIndex:
         return self.blocks.select(F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("changes").alias("n"))))
 
     def top(self, most: int, least: int) -> list[tuple[str, int]]:
-        """The most frequent pairs, equal counts by smaller ids."""
-        rows = self.counts.where(F.col("n") >= least).orderBy(F.desc("n"), "pair").limit(most).collect()
-        return [(pair_of(r["pair"]), r["n"]) for r in rows]
+        """The most frequent pairs, equal counts by smaller ids.
+
+        Counts of pairs by frequency tell how far down to go, so that tasks sort little else than what is taken; ``collect`` would
+        then send each task's own ``most`` pairs to the driver, ``toArrow`` sends those of all.
+        """
+        step = F.floor(F.log2("n") * FREQUENCY_STEPS).cast("int")
+        frequent = self.counts.where(F.col("n") >= least)
+        taken, lowest = 0, 0
+        for row in sorted(frequent.groupBy(step.alias("step")).count().collect(), reverse=True):
+            taken, lowest = taken + row["count"], row["step"]
+            if taken >= most:
+                break
+        rows = frequent.where(step >= lowest).orderBy(F.desc("n"), "pair").limit(most).toArrow()
+        return [(pair_of(key), n) for key, n in zip(rows["pair"].to_pylist(), rows["n"].to_pylist())]
 
     def runs(self, pairs: list[str]) -> DataFrame:
         """(run, n): the longest stretches of words in which all neighbouring pairs are among ``pairs``."""

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from small_tables import SF
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from ananym.config import VocabConfig
 from ananym.operators import vocabulary
@@ -238,3 +239,17 @@ def test_a_long_mixed_word_trains_in_seconds(spark):
     trained = train_vocabulary(spark.createDataFrame([(word, 1), ("abc", 3)], "word string, n bigint"), VocabConfig(vocab_size=1_500, min_frequency=2))
     assert trained.vocab.count() == 1_503
     assert time.monotonic() - start < 90
+
+
+def test_only_the_ranking_itself_reaches_the_driver(spark, monkeypatch):
+    words = spark.range(3000).select(F.concat(F.expr("char(97 + id % 26)"), F.expr("char(97 + id % 23)"), F.expr("char(97 + id % 19)")).alias("word"), (F.col("id") % 7 + 1).alias("n"))
+    spelled = F.translate("word", "abcdefghijklmnopqrstuvwxyz", "".join(map(symbol, range(1, 27)))).alias("word")
+    index = PairIndex(words.repartition(8, "word").select(spelled, "n"))
+    index.counts = index.counts.repartition(16, "pair")
+    want = sorted(((pair_of(r["pair"]), r["n"]) for r in index.counts.where("n >= 9").collect()), key=lambda x: (-x[1], x[0]))
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: collected.append(df.columns) or collect(df))
+    for most in (1, 40, 41, 10_000):
+        assert index.top(most, 9) == want[:most]
+    # A collected ranking would come from each of the tasks; counts by frequency are summed up before.
+    assert collected and all(columns == ["step", "count"] for columns in collected)
