@@ -157,8 +157,10 @@ def order_texts(spark, sf):
 def small_fraction(spark, sf):
     """A hundred-thousandth of a hundred rows per line item."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
-    wide = items.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("copy"))
-    return sample_rows(wide.withColumn("doc_id", F.concat_ws("-", "item", F.col("copy").cast("string"))), 1e-5, seed=1).select("doc_id")
+    # What the copies of an item share is put together before there are a hundred of them.
+    named = items.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"))
+    wide = spread(named, "item").select("item", F.explode(F.array(*[F.lit(f"-{i}") for i in range(100)])).alias("copy"))
+    return sample_rows(wide.select(F.concat("item", "copy").alias("doc_id")), 1e-5, seed=1)
 
 
 def stream_progress(spark, sf):

@@ -10,8 +10,10 @@ FRACTION_DIGITS = 15
 
 def seeded_hash(*parts: Column | int) -> Column:
     """md5 over the parts joined by ``:``; the same on every engine that has md5."""
-    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]))
+    columns = [(p if isinstance(p, Column) else F.lit(str(p))).cast("string") for p in parts]
+    # Only parts that may be null, which are left out, need the slower function.
+    spaced = [x for c in columns for x in (F.lit(":"), c)][1:]
+    return F.md5(F.coalesce(F.concat(*spaced), F.concat_ws(":", *columns)))
 
 
 def hash_number(digest: Column, digits: int) -> Column:
@@ -28,4 +30,5 @@ def below_fraction(digest: Column, fraction: float) -> Column:
     """True for about ``fraction`` of all digests."""
     if fraction >= 1:
         return F.lit(True)
-    return F.substring(digest, 1, FRACTION_DIGITS) < fraction_limit(max(fraction, 0.0))
+    # The limit's digits decide; a digest that begins with them is longer and so not below.
+    return digest < fraction_limit(max(fraction, 0.0))

@@ -1,8 +1,10 @@
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from ananym.functions.hashing import below_fraction, fraction_limit
 from ananym.operators import order
 from ananym.operators.limits import (
     random_rows,
@@ -141,3 +143,24 @@ def test_small_fractions(spark):
     df = spark.range(1_000_000).select(F.col("id").alias("doc_id"))
     assert 1 <= sample_rows(df, 1e-5).count() <= 30
     assert 1 <= split_hash(df, 1e-5).where("split = 'valid'").count() <= 30
+
+
+def test_small_fraction_names_items_before_it_copies_them(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i % 300 if i % 50 else None, i % 7) for i in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.small_fraction(spark, str(tmp_path))
+    names = ["-".join(str(x) for x in (*row, copy) if x is not None) for row in rows for copy in range(100)]
+    limit = fraction_limit(1e-5)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(n for n in names if hashlib.md5(f"1:{n}".encode()).hexdigest()[:15] < limit)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("l_orderkey")
+
+
+@pytest.mark.parametrize("fraction", [-1.0, 0.0, 1e-17, 0.3, 0.5, 1.0])
+def test_fractions_are_cut_at_the_limits_digits(spark, fraction):
+    limit = fraction_limit(max(fraction, 0.0))
+    digests = [d for start in {limit[:15], limit[-15:], "0" * 15, "f" * 15} for d in (start + "0" * 17, start + "f" * 17)]
+    got = spark.createDataFrame([(d,) for d in digests], "d string").select("d", below_fraction(F.col("d"), fraction).alias("in")).collect()
+    assert all(r["in"] == (fraction >= 1 or r["d"][:15] < limit) for r in got)
