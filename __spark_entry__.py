@@ -132,7 +132,10 @@ def read_json_lines(spark, sf):
 def read_text_lines(spark, sf):
     """Lines with the count of their rows and of their distinct keys, over a corpus with several files."""
     path = scratch_path(spark, "text")
-    documents(spark, sf).select("text").repartition(4, "text").write.text(path)
+    texts = documents(spark, sf).select("text")
+    # Only a small table needs dealing out; any other is written in as many files as it scans in tasks.
+    texts = texts if texts.rdd.getNumPartitions() >= 4 else texts.repartition(4, "text")
+    texts.write.text(path)
     lines = read_corpus(spark, path, "text")
     keys = lines.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text").alias("text"))
     return keys.groupBy("text").agg(F.sum("rows").alias("n"), F.count("*").alias("n_keys"))

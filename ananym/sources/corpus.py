@@ -54,8 +54,8 @@ def keyed_text(lines: DataFrame) -> DataFrame:
     before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     counts = read.groupBy(*place).agg(F.count("*").alias("n"), F.min("line").alias("first"))
     offsets = counts.select(*place, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    # Within a block the line ids that Spark gives are consecutive, so no rows need to be ranked.
-    return read.join(offsets, place).select((F.col("offset") + F.col("line") - F.col("first")).alias("doc_id"), "text")
+    # Within a block the line ids that Spark gives are consecutive, so no rows need to be ranked; with a row per block, no lines are shuffled.
+    return read.join(F.broadcast(offsets), place).select((F.col("offset") + F.col("line") - F.col("first")).alias("doc_id"), "text")
 
 
 def store_with_keys(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

@@ -223,3 +223,28 @@ def test_stream_of_a_table_in_one_or_several_files(spark, tmp_path, files):
         docs.toPandas().to_parquet(tmp_path / "documents.parquet")
     got = entry.stream_prepare(spark, str(tmp_path)).select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [(i, f"text {i}"[::-1]) for i in range(50)]
+
+
+def test_text_lines_are_written_in_as_many_files_as_are_read(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    from_rows(spark, [(i, f"same\nline {i % 3}") for i in range(90)]).repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(entry, "scratch_path", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        got = {r["text"]: (r["n"], r["n_keys"]) for r in entry.read_text_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {"same": (90, 90), "line 0": (30, 30), "line 1": (30, 30), "line 2": (30, 30)}
+    assert len(list((tmp_path / "text").glob("part-*"))) == 9
+
+
+def test_lines_are_not_shuffled_by_their_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_corpus(spark, str(tmp_path), "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
