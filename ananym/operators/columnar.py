@@ -38,9 +38,9 @@ def normalised(texts: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts, others, pa.array(changed, pa.string()))
 
 
-def split_words(texts: pa.Array, first_words: int | None = None) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array, first_words: int | None = None, normalise: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts one after another, without their mark, and how many each text has; an empty text has none."""
-    texts = pc.replace_substring(normalised(texts), WORD_MARK, " ")
+    texts = pc.replace_substring(normalised(texts) if normalise else texts, WORD_MARK, " ")
     empty = np.asarray(pc.equal(texts, ""))
     texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
     parts = pc.split_pattern(texts, " ")

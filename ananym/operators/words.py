@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ananym.config import LIMIT_ALPHABET, UNK
 from ananym.functions.arrays import adjacent_pairs
-from ananym.functions.text import bare_words, characters, marked, nfkc
+from ananym.functions.text import characters, marked
+from ananym.operators.columnar import slices, split_words
+
+COUNTED_BYTES = 8 << 20
 
 
 def training_text(df: DataFrame, split: str | None = "train", column: str = "text") -> DataFrame:
@@ -16,14 +23,20 @@ def training_text(df: DataFrame, split: str | None = "train", column: str = "tex
 
 
 def word_counts(df: DataFrame, column: str = "text", normalise: bool = True) -> DataFrame:
-    """How often each word occurs. Counting is partial before the shuffle, so frequent words do not pile up."""
-    text = nfkc(F.col(column)) if normalise else F.col(column)
-    return (
-        df.select(F.explode(bare_words(text)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .select(marked(F.col("word")).alias("word"), "n")
-    )
+    """How often each word occurs.
+
+    Texts are split and their words counted in Arrow batches, so that Spark adds up counts and not single words; adding is partial
+    before the shuffle, so frequent words do not pile up.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(pc.fill_null(batch.column(0).cast(pa.string()), ""), COUNTED_BYTES):
+                found = split_words(part, normalise=normalise)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+    counts = df.select(column).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.select(marked(F.col("word")).alias("word"), "n")
 
 
 def character_counts(words: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from ananym.config import VocabConfig
-from ananym.operators import vocabulary
+from ananym.functions.text import nfkc
+from ananym.functions.text import words as text_words
+from ananym.operators import vocabulary, words
 from ananym.operators.pair_index import Block, Merges, PairIndex, key_of, pair_of
 from ananym.operators.vocabulary import (
     END_OF_SYMBOLS,
@@ -253,3 +255,15 @@ def test_only_the_ranking_itself_reaches_the_driver(spark, monkeypatch):
         assert index.top(most, 9) == want[:most]
     # A collected ranking would come from each of the tasks; counts by frequency are summed up before.
     assert collected and all(columns == ["step", "count"] for columns in collected)
+
+
+@pytest.mark.parametrize("normalise", [True, False])
+def test_words_are_counted_before_spark_sees_them(spark, edge_texts, monkeypatch, normalise):
+    monkeypatch.setattr(words, "COUNTED_BYTES", 60)
+    rows = [(t,) for t in [*edge_texts, None, *["some frequent words"] * 50]]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    text = nfkc(F.col("text")) if normalise else F.col("text")
+    want = Counter(r["word"] for r in df.select(F.explode(text_words(text)).alias("word")).collect())
+    counted = word_counts(df, normalise=normalise)
+    assert {r["word"]: r["n"] for r in counted.collect()} == want
+    assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
