@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from ananym.config import SPECIAL_TOKENS, UNK, WORD_MARK
 from ananym.operators.pair_index import ID_BITS, Merges, taken
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 LITERAL = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
 
 
@@ -103,10 +103,14 @@ class Encoder:
         places, ends = taken(starts[codes], lengths[codes])
         return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids[places], pa.int32()))
 
+    def parts(self, texts: pa.Array, first_words: int | None = None, match_special: bool = False) -> Iterator[pa.Array]:
+        """A list of ids for each text, null having none, in parts as they are encoded: no more than one part's ids are held."""
+        for part in slices(pc.fill_null(texts.cast(pa.string()), ""), SLICE_BYTES):
+            yield self._slice(part, first_words, match_special)
+
     def texts(self, texts: pa.Array, first_words: int | None = None, match_special: bool = False) -> pa.Array:
-        """A list of ids for each text; null has none."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        out = [self._slice(part, first_words, match_special) for part in slices(texts, SLICE_BYTES)]
+        """The same as one array."""
+        out = list(self.parts(texts, first_words, match_special))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     def _slice(self, texts: pa.Array, first_words: int | None, match_special: bool) -> pa.Array:

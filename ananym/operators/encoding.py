@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ananym.config import REVERSED, SPECIAL_TOKENS, UNK, WORD_MARK
 from ananym.functions.text import may_change_under_nfkc
-from ananym.operators.columnar import LITERAL, Encoder, split_words
+from ananym.operators.columnar import LITERAL, SLICE_BYTES, Encoder, slices, split_words
 from ananym.operators.order import nth_in_order, up_to
 from ananym.operators.rows import require_orientation, reverse_rows
 from ananym.operators.vocabulary import MAX_VOCAB, Vocabulary
@@ -93,9 +93,14 @@ def _factorised(text: Column, first_words: int | None, match_special: bool) -> C
     """A text's distinct words, and for each of its words in order which of them it is."""
 
     @F.arrow_udf("words array<string>, places array<int>")
-    def factorise(texts: pa.Array) -> pa.Array:
+    def factorise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in slices(pc.fill_null(batch.cast(pa.string()), ""), SLICE_BYTES):
+                yield factorised(part)
+
+    def factorised(texts: pa.Array) -> pa.Array:
         found: list[dict] = []
-        for segments in (LITERAL.split(t) if match_special else [t] for t in pc.fill_null(texts, "").to_pylist()):
+        for segments in (LITERAL.split(t) if match_special else [t] for t in texts.to_pylist()):
             own = pa.array(segments[::2], pa.string())
             words, counts = split_words(own, first_words)
             marked = pc.binary_join_element_wise(WORD_MARK, words, "") if len(words) else words
@@ -156,7 +161,7 @@ def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> Dat
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(table)
         for batch in batches:
-            yield encoder.texts(batch, first_words, match_special)
+            yield from encoder.parts(batch, first_words, match_special)
 
     # Keeps the optimiser from copying the call into every later use of the ids.
     ids_of = ids_of.asNondeterministic()

@@ -2,6 +2,8 @@ import random
 import unicodedata
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from small_tables import SF
 from pyspark.sql import functions as F
@@ -182,3 +184,13 @@ def test_a_very_long_word(spark, vocab, library):
     text = "abcde" * 20_000
     for strategy in (BY_DOCUMENT, BY_WORD):
         assert encoded(from_rows(spark, [(1, text)]), vocab, strategy=strategy)[1] == library.encode(text).ids
+
+
+def test_ids_leave_a_batch_in_parts(vocab, texts, monkeypatch):
+    """No more than one part's ids are held, however large the batch that Spark sends."""
+    monkeypatch.setattr(columnar, "SLICE_BYTES", 300)
+    encoder = encoding._encoder(encoding.merge_table(vocab))
+    batch = pa.array([*texts[:40], None], pa.string())
+    parts = list(encoder.parts(batch))
+    assert len(parts) > 5 and pa.concat_arrays(parts).to_pylist() == encoder.texts(batch).to_pylist()
+    assert all(len(part) == 1 or sum(len(t.encode()) for t in texts[start : start + len(part)]) <= 300 for start, part in zip(np.cumsum([0, *map(len, parts)]).tolist(), parts) if start + len(part) <= 40)
