@@ -194,3 +194,9 @@ def test_ids_leave_a_batch_in_parts(vocab, texts, monkeypatch):
     parts = list(encoder.parts(batch))
     assert len(parts) > 5 and pa.concat_arrays(parts).to_pylist() == encoder.texts(batch).to_pylist()
     assert all(len(part) == 1 or sum(len(t.encode()) for t in texts[start : start + len(part)]) <= 300 for start, part in zip(np.cumsum([0, *map(len, parts)]).tolist(), parts) if start + len(part) <= 40)
+
+
+def test_by_word_shuffles_ids_without_structs(spark, vocab, corpus):
+    reversed_texts = corpus.withColumn("orientation", F.lit("reversed"))
+    plan = encode(reversed_texts, vocab, strategy=BY_WORD)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "struct(nth" not in plan
