@@ -23,9 +23,6 @@ CROWDED_RANGES = 4096
 SMALL_NUMBERS = 1 << 20
 SLICE_BYTES = 4 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
 
 # --- session --------------------------------------------------------------------------------------
 
@@ -155,7 +152,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[
         upper = (raw >= 65) & (raw <= 90)
         raw = raw + (upper.view(np.uint8) << 5)
     raw = np.ascontiguousarray(raw)
-    space = _SPACE[raw]
+    space = (raw == 0x20) | (raw - np.uint8(9) < 5)
     first = ~space
     first[1:] &= space[:-1]
     heads = starts[:-1][starts[:-1] < starts[1:]]
@@ -168,12 +165,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[
     bounds = np.searchsorted(begin, starts)
     if not len(begin):
         return np.zeros(0, np.int32), [], bounds
-    edges = np.empty(2 * len(begin), np.int64)
-    edges[0::2], edges[1::2] = begin, end
-    coded = tiles(raw, edges).dictionary_encode()
-    codes = np.asarray(coded.indices)[0::2]
-    used, codes = np.unique(codes, return_inverse=True)
-    return codes, coded.dictionary.take(pa.array(used)).to_pylist(), bounds
+    # The words' bytes, one word after another; the dictionary is in the order in which words first occur.
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(end - begin)))
+    coded = tiles(raw[~space], edges).dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), bounds
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

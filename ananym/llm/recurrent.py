@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,9 @@ ROUNDS = (1, 3, 5, 7)
 RATES = (0.02, 0.01, 0.006, 0.003)
 AVERAGING_TASKS = 64
 FLUSH_ROWS = 1 << 14
-#: Rows whose class probabilities are worked out together: they stay in a core's cache.
+#: Rows whose gradients at the classes are summed up at once, and rows whose probabilities are worked out together: they stay in a core's cache.
 CLASS_ROWS = 1 << 10
+CACHE_ROWS = 1 << 8
 #: Documents and bytes that are scored together: long ones leave fewer steps to few streams.
 SCORE_DOCUMENTS = 4000
 SCORE_BYTES = 8 << 20
@@ -100,11 +102,7 @@ class Lexicon:
 
 def with_ends(codes: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
     """Codes of all tokens: each text's words, then ``end``."""
-    tokens = np.full(len(codes) + len(bounds) - 1, end, np.int64)
-    inside = np.ones(len(tokens), bool)
-    inside[bounds[1:] + np.arange(len(bounds) - 1)] = False
-    tokens[inside] = codes
-    return tokens
+    return np.insert(codes.astype(np.int64), bounds[1:], end)
 
 
 def before_each(tokens: np.ndarray, end: int) -> np.ndarray:
@@ -112,6 +110,11 @@ def before_each(tokens: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate(([end], tokens[:-1])) if len(tokens) else tokens
 
 
+def decoded(words: list[bytes]) -> list[str]:
+    """Words of ``split_words`` as strings; none holds a line end."""
+    return b"\n".join(words).decode(errors="replace").split("\n") if words else []
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over lower-cased words of whole texts and one end (the empty word) per document."""
 
@@ -122,7 +125,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 codes, words, _ = split_words(part.column(0), lower=True)
                 times = np.bincount(codes, minlength=len(words)) if len(words) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([END, *[w.decode(errors="replace") for w in words]]), pa.array(np.concatenate(([len(part)], times)).astype(np.int64))], names=["word", "n"]
+                    [pa.array([END, *decoded(words)]), pa.array(np.concatenate(([len(part)], times)).astype(np.int64))], names=["word", "n"]
                 )
 
     return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -157,13 +160,24 @@ def read_lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(number, dict(head), word_class, np.concatenate((own, n)), np.log10(n + 0.5 * (v + 1)), int(total), int(distinct))
 
 
+class RareCodes(dict):
+    """Codes of rare words by their last two characters, each worked out once."""
+
+    def __init__(self, first: int):
+        super().__init__()
+        self.first = first
+
+    def __missing__(self, tail: str) -> int:
+        code = self[tail] = self.first + rare_class(tail)
+        return code
+
+
 def token_codes(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Codes of all tokens with ends, where each text's start (one more at the end), and numbers of the words and the words."""
     numbers, words, bounds = split_words(texts, lower=True)
-    names = [w.decode(errors="replace") for w in words]
-    found = np.fromiter((lexicon.place.get(w, -1) for w in names), np.int64, len(names))
-    for i in np.flatnonzero(found < 0):
-        found[i] = len(lexicon.head) + rare_class(names[i])
+    names = decoded(words)
+    place, rare = lexicon.place, RareCodes(len(lexicon.head))
+    found = np.fromiter((place[w] if w in place else rare[w[-2:]] for w in names), np.int64, len(names))
     codes = with_ends(found[numbers] if len(names) else numbers, bounds, lexicon.place[END])
     return codes, bounds + np.arange(len(bounds)), numbers, names
 
@@ -262,6 +276,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _blocks(x: np.ndarray) -> np.ndarray:
+    """The last axis, of two gates and the new state, as three blocks."""
+    return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, HIDDEN), -2, 0))
+
+
 def _wide(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether logits ``h @ weights.T + bias`` may be too far from zero to be exponentiated as they are."""
     return h.size > 0 and float(np.abs(h).max()) * float(np.abs(weights).sum(axis=1).max()) + float(np.abs(bias).max()) > 60
@@ -312,6 +331,25 @@ class Network:
         new = np.tanh(gates[:, 2 * n :] + r * own[:, 2 * n :])
         return new + z * (h - new), z, r, new, own[:, 2 * n :]
 
+    def advance(self, gates: np.ndarray, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``step`` into ``out``, from ``_blocks`` of the input's share: what it works on lies in one piece."""
+        own = (h @ self.p["state"]).reshape(-1, 3, HIDDEN).swapaxes(0, 1)
+        zr = np.empty_like(gates[:2])
+        np.add(gates[:2], own[:2], out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr
+        new = np.empty_like(r)
+        np.multiply(r, own[2], out=new)
+        new += gates[2]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= z
+        out += new
+        return z, r, new, own[2]
+
     def losses(self, h: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """ln P of targets; when learning also the gradient at ``h`` and at the output's parameters."""
         p, rows = self.p, np.arange(len(target))
@@ -323,14 +361,17 @@ class Network:
         for a in range(0, len(target), CLASS_ROWS):
             at = slice(a, min(a + CLASS_ROWS, len(target)))
             local, own = rows[: at.stop - a], owner[at]
-            logits = h[at] @ p["to_class"]
-            logits += p["class_bias"]
-            if wide:
-                logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[local, own]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            out[at] = chosen - np.log(total)
+            logits, total = h[at] @ p["to_class"], np.empty(at.stop - a, h.dtype)
+            for low in range(a, at.stop, CACHE_ROWS):
+                near = slice(low - a, min(low + CACHE_ROWS, at.stop) - a)
+                part = logits[near]
+                part += p["class_bias"]
+                if wide:
+                    part -= part.max(axis=1, keepdims=True)
+                chosen = part[rows[: len(part)], own[near]]
+                np.exp(part, out=part)
+                total[near] = part.sum(axis=1)
+                out[at][near] = chosen - np.log(total[near])
             if learn:
                 logits *= (1 / total)[:, None]
                 logits[local, own] -= 1
@@ -340,9 +381,11 @@ class Network:
         # Rows stand by class, so that each class works on a slice.
         order = np.argsort(owner.astype(np.int16), kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(self.classes + 1))
+        back = np.empty_like(order)
+        back[order] = rows
         order = order[: cuts[-1]]
-        near, place = h[order], target[order]
-        gained, d_near = np.zeros(len(order), out.dtype), np.zeros_like(near)
+        near, place = h.take(order, axis=0), target[order]
+        gained, d_near = np.zeros(len(out), out.dtype), np.zeros_like(h) if learn else None
         wide = _wide(near, p["to_word"], p["word_bias"])
         for c in range(self.classes):
             at = slice(cuts[c], cuts[c + 1])
@@ -364,9 +407,9 @@ class Network:
                 grads["to_word"][low:high] = scores.T @ near[at]
                 grads["word_bias"][low:high] = scores.sum(axis=0)
                 d_near[at] = scores @ p["to_word"][low:high]
-        out[order] += gained
+        out += gained.take(back)
         if learn:
-            d_h[order] += d_near
+            d_h += d_near.take(back, axis=0)
         return out, d_h, grads
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -374,16 +417,15 @@ class Network:
         p, n = self.p, HIDDEN
         steps, streams = ids.shape
         x = p["embed"][ids]
-        gates = x @ p["input"] + p["bias"]
+        gates = _blocks(x @ p["input"] + p["bias"])
         kept, states = [], np.empty((steps, streams, n), np.float32)
         for t in range(steps):
             before = h * ~reset[t][:, None]
-            h, z, r, new, inner = self.step(gates[t], before)
-            kept.append((before, z, r, new, inner))
-            states[t] = h
+            h = states[t]
+            kept.append((before, *self.advance(gates[:, t], before, h)))
         _, d_out, grads = self.losses(states.reshape(-1, n), target.reshape(-1), True)
         d_out = d_out.reshape(steps, streams, n)
-        d_gates = np.empty_like(gates)
+        d_gates = np.empty((steps, streams, 3 * n), gates.dtype)
         d_state = np.zeros_like(p["state"])
         d_h = np.zeros((streams, n), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -414,30 +456,29 @@ class Network:
     def token_logs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 P of each token: a text's state starts at zero and is carried from window to window to its end."""
         lengths = np.diff(starts)
-        order = np.argsort(-lengths, kind="stable")
-        begin, length = starts[:-1][order], lengths[order]
+        begin = starts[:-1][np.argsort(-lengths, kind="stable")]
+        longest = int(lengths.max(initial=0))
+        #: How many texts have a token at each step.
+        live = len(lengths) - np.cumsum(np.bincount(lengths, minlength=1))[:longest]
         inputs = self.p["embed"] @ self.p["input"] + self.p["bias"]
-        out = np.zeros(len(ids))
-        h = np.zeros((len(order), HIDDEN), np.float32)
-        states, places, waiting = [], [], 0
-        end = ids[starts[1] - 1] if len(ids) else 0
-
-        def flush():
-            at = np.concatenate(places)
-            out[at] = self.losses(np.concatenate(states), ids[at], False)[0]
-
-        for t in range(int(length[0]) if len(length) else 0):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            before = np.full(live, end) if t == 0 else ids[begin[:live] + t - 1]
-            h = self.step(inputs[before], h[:live])[0]
-            states.append(h)
-            places.append(begin[:live] + t)
-            waiting += live
-            if waiting >= FLUSH_ROWS:
-                flush()
-                states, places, waiting = [], [], 0
-        if states:
-            flush()
+        out, end = np.zeros(len(ids)), ids[starts[1] - 1] if len(ids) else 0
+        h = np.zeros((len(lengths), HIDDEN), inputs.dtype)
+        total, first = np.cumsum(live), 0
+        while first < longest:
+            stop = int(np.searchsorted(total, FLUSH_ROWS + (total[first - 1] if first else 0))) + 1
+            widths = live[first:stop]
+            edges = np.concatenate(([0], np.cumsum(widths)))
+            places = begin[np.arange(edges[-1]) - np.repeat(edges[:-1], widths)] + np.repeat(np.arange(first, first + len(widths)), widths)
+            before = ids[places - 1]
+            if first == 0:
+                before[: widths[0]] = end
+            gates = _blocks(inputs.take(before, axis=0))
+            states = np.empty((len(places), HIDDEN), inputs.dtype)
+            for a, b in itertools.pairwise(edges.tolist()):
+                self.advance(gates[:, a:b], h[: b - a], states[a:b])
+                h = states[a:b]
+            out[places] = self.losses(states, ids[places], False)[0]
+            first = stop
         return out / LOG10
 
 
