@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,6 +53,19 @@ class Windows:
         return mix64(words + (self.anchor[self.cell] - begin).astype(np.uint64) * np.uint64(_CELL_BASE) + self.cell_size.astype(np.uint64))
 
 
+def listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of numbers in lists (null: none) as arrays: their rows, first and second numbers. No Python object per pair."""
+    flat = lists.flatten()
+    sizes = np.asarray(pc.list_value_length(lists).fill_null(0))
+    return np.repeat(np.arange(len(sizes)), sizes), *(np.asarray(c).astype(np.int64) for c in flat.flatten())
+
+
+def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in any of the ranges."""
+    steps = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
+
+
 def _document_key(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """``__d, __t``: an order of documents by key (null last) and content; never null."""
     content = F.coalesce(F.col(text), F.lit(""))
@@ -133,12 +147,9 @@ def _edge_windows(docs: DataFrame, places: DataFrame, span: int) -> DataFrame:
                 codes, words, bounds = split_words(part.column(2))
                 hashes = hash_words(words)[codes]
                 w = Windows(hashes, bounds, span)
-                wanted = np.zeros(len(codes) + 1, np.int64)
-                for row, cells in enumerate(part.column(3).to_pylist()):
-                    at = np.array([(c["start"], c["n"]) for c in cells], np.int64).reshape(-1, 2)
-                    np.add.at(wanted, bounds[row] + at[:, 0], 1)
-                    np.add.at(wanted, bounds[row] + at[:, 0] + at[:, 1], -1)
-                chosen = np.cumsum(wanted)[w.starts] > 0
+                rows, begin, n = listed(part.column(3))
+                begin = begin + bounds[rows]
+                chosen = covered(begin, begin + n, len(codes))[w.starts]
                 starts, rows, anchors = w.starts[chosen], w.row[chosen], w.anchor[chosen]
                 word = windows(hashes, span, _CELL_BASE)[starts] + (anchors - starts).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -202,15 +213,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", key: s
                 part = batch.slice(a, b - a)
                 _, _, bounds = split_words(part.column(0))
                 counts = np.diff(bounds)
+                rows, begin, end = listed(part.column(1))
+                all_gone = covered(begin + bounds[rows], end + bounds[rows], bounds[-1])
                 removed = np.zeros(len(counts), np.int64)
                 kept = part.column(0).to_pylist()
-                for row, ranges_ in enumerate(part.column(1).to_pylist()):
-                    if not ranges_:
-                        continue
-                    cover = np.zeros(counts[row] + 1, np.int64)
-                    np.add.at(cover, [r["begin"] for r in ranges_], 1)
-                    np.add.at(cover, [r["end"] for r in ranges_], -1)
-                    gone = np.cumsum(cover[:-1]) > 0
+                for row in np.unique(rows).tolist():
+                    gone = all_gone[bounds[row] : bounds[row + 1]]
                     removed[row] = gone.sum()
                     # A word that goes takes the white space before it along.
                     data, out, last = kept[row].encode(), [], 0
