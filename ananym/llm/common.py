@@ -141,34 +141,40 @@ def tiles(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words (runs without ASCII white space) of each text.
 
-    Returns a code per word in order, the distinct words as bytes, and where each text's words start (one more at
-    the end). Null texts have no words. ``lower`` maps A-Z to a-z first.
+    Returns a code per word in order, the distinct words as an Arrow array of bytes, and where each text's words start
+    (one more at the end). Null texts have no words. ``lower`` maps A-Z to a-z first.
     """
     raw, starts = text_buffer(texts)
     if lower:
-        upper = (raw >= 65) & (raw <= 90)
+        upper = raw - np.uint8(65) < 26
         raw = raw + (upper.view(np.uint8) << 5)
     raw = np.ascontiguousarray(raw)
     space = (raw == 0x20) | (raw - np.uint8(9) < 5)
-    first = ~space
+    word = ~space
+    first = word.copy()
     first[1:] &= space[:-1]
     heads = starts[:-1][starts[:-1] < starts[1:]]
-    first[heads] = ~space[heads]
-    last = ~space
-    last[:-1] &= space[1:]
-    tails = starts[1:][starts[:-1] < starts[1:]] - 1
-    last[tails] = ~space[tails]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    first[heads] = word[heads]
+    begin = np.flatnonzero(first)
     bounds = np.searchsorted(begin, starts)
     if not len(begin):
-        return np.zeros(0, np.int32), [], bounds
+        return np.zeros(0, np.int32), pa.array([], pa.binary()), bounds
     # The words' bytes, one word after another; the dictionary is in the order in which words first occur.
+    last = word
+    last[:-1] &= space[1:] | first[1:]
+    end = np.flatnonzero(last) + 1
     edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(end - begin)))
     coded = tiles(raw[~space], edges).dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), bounds
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, bounds
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """``coded_words`` with the distinct words as a list of bytes."""
+    codes, words, bounds = coded_words(texts, lower)
+    return codes, words.to_numpy(zero_copy_only=False).tolist(), bounds
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

@@ -10,11 +10,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ananym.llm.common import byte_slices, prepare_session, split_words, written
+from ananym.llm.common import byte_slices, coded_words, mix64, prepare_session, written
 
 #: Words the network tells apart; all others share one of ``RARE`` classes by their last two characters.
 VOCABULARY = 4096
@@ -29,6 +30,11 @@ PAIR_BASE = 1 << 16
 FREQUENCY_STEPS = 256
 PAIR_TOKENS = 1 << 22
 PAIR_ROWS = 100_000
+#: Tokens whose pairs are added up together, for which their number is a bound.
+PAIR_GROUP_TOKENS = 1 << 21
+#: Words that a task may hold of the counts it joins; above it sorts them.
+JOINED_WORDS = 1 << 20
+WORD_ROWS = 50_000
 HIDDEN = 16
 WINDOW = 32
 STREAMS = 512
@@ -88,6 +94,11 @@ class Lexicon:
         """Codes of frequent words; the codes above are rare classes of all other words."""
         return {w: i for i, w in enumerate(self.head)}
 
+    @cached_property
+    def words(self) -> pa.Array:
+        """Frequent words in the order of their codes."""
+        return pa.array(list(self.head), pa.string())
+
     @cached_property
     def network_ids(self) -> np.ndarray:
         """What the network knows each code as."""
@@ -110,23 +121,26 @@ def before_each(tokens: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate(([end], tokens[:-1])) if len(tokens) else tokens
 
 
-def decoded(words: list[bytes]) -> list[str]:
-    """Words of ``split_words`` as strings; none holds a line end."""
-    return b"\n".join(words).decode(errors="replace").split("\n") if words else []
+def decoded(words: pa.Array) -> pa.Array:
+    """Words of ``coded_words`` as strings; bytes that are no UTF-8 are replaced. None holds a line end."""
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array(b"\n".join(words.to_pylist()).decode(errors="replace").split("\n"), pa.string())
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over lower-cased words of whole texts and one end (the empty word) per document."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in byte_slices(batch.column(0)):
+        for batch in _gathered(batches):
+            for a, b in byte_slices(batch.column(0), SCORE_BYTES):
                 part = batch.slice(a, b - a)
-                codes, words, _ = split_words(part.column(0), lower=True)
+                codes, words, _ = coded_words(part.column(0), lower=True)
                 times = np.bincount(codes, minlength=len(words)) if len(words) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([END, *decoded(words)]), pa.array(np.concatenate(([len(part)], times)).astype(np.int64))], names=["word", "n"]
-                )
+                names = pa.concat_arrays([pa.array([END], pa.string()), decoded(words)])
+                whole = pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(([len(part)], times)).astype(np.int64))], names=["word", "n"])
+                yield from (whole.slice(i, WORD_ROWS) for i in range(0, len(names), WORD_ROWS))
 
     return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -160,24 +174,17 @@ def read_lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(number, dict(head), word_class, np.concatenate((own, n)), np.log10(n + 0.5 * (v + 1)), int(total), int(distinct))
 
 
-class RareCodes(dict):
-    """Codes of rare words by their last two characters, each worked out once."""
-
-    def __init__(self, first: int):
-        super().__init__()
-        self.first = first
-
-    def __missing__(self, tail: str) -> int:
-        code = self[tail] = self.first + rare_class(tail)
-        return code
-
-
-def token_codes(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def token_codes(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Codes of all tokens with ends, where each text's start (one more at the end), and numbers of the words and the words."""
-    numbers, words, bounds = split_words(texts, lower=True)
+    numbers, words, bounds = coded_words(texts, lower=True)
     names = decoded(words)
-    place, rare = lexicon.place, RareCodes(len(lexicon.head))
-    found = np.fromiter((place[w] if w in place else rare[w[-2:]] for w in names), np.int64, len(names))
+    place = pc.index_in(names, value_set=lexicon.words)
+    found = place.fill_null(-1).to_numpy().astype(np.int64)
+    # Words end alike far more often than they are alike.
+    tails = pc.utf8_slice_codeunits(names.filter(place.is_null()), -2, None).dictionary_encode()
+    rare = np.fromiter((len(lexicon.head) + rare_class(t) for t in tails.dictionary.to_pylist()), np.int64, len(tails.dictionary))
+    if len(rare):
+        found[found < 0] = rare[tails.indices.to_numpy()]
     codes = with_ends(found[numbers] if len(names) else numbers, bounds, lexicon.place[END])
     return codes, bounds + np.arange(len(bounds)), numbers, names
 
@@ -213,7 +220,12 @@ class PairTable:
 
 
 def count_pairs(encoded: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``pair, n``: how often a frequent word's code follows another's, over all documents of ``_training_ids``; an end also stands before each text."""
+    """``pair, n``: how often a frequent word's code follows another's, over all documents of ``_training_ids``; an end also stands before each text.
+
+    Tasks count the pairs of some tokens and deal them to groups by a hash of the pair; one row holds a task's pairs of one group. There
+    are as many groups as keep each to about ``PAIR_GROUP_TOKENS`` tokens' pairs, and no pair is more than one entry of a row.
+    """
+    groups = max(1, -(-lexicon.total // PAIR_GROUP_TOKENS))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -223,8 +235,12 @@ def count_pairs(encoded: DataFrame, lexicon: Lexicon) -> DataFrame:
             before = before_each(codes, lexicon.place[END])
             frequent = (codes < len(lexicon.head)) & (before < len(lexicon.head))
             found, n = np.unique((before * PAIR_BASE + codes)[frequent].astype(np.uint32), return_counts=True)
-            whole = pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["pair", "n"])
-            yield from (whole.slice(i, PAIR_ROWS) for i in range(0, len(found), PAIR_ROWS))
+            group = pair_group(found, groups)
+            order = np.argsort(group, kind="stable")
+            found, n, edges = found[order], n[order].astype(np.int64), np.searchsorted(group[order], np.arange(groups + 1))
+            for g in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[g], edges[g + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([found[own].tobytes()]), pa.array([n[own].tobytes()])], names=["group", "pairs", "n"])
 
         for batch in batches:
             for data in batch.column(0):
@@ -236,7 +252,35 @@ def count_pairs(encoded: DataFrame, lexicon: Lexicon) -> DataFrame:
         if held:
             yield from pairs()
 
-    return encoded.select("ids").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        rows = ((p.as_py(), m.as_py()) for batch in batches for p, m in zip(batch.column("pairs"), batch.column("n")))
+        # Rows are added up whenever they hold as many entries as the sums so far, at least those of a group.
+        while more := list(_up_to(rows, max(PAIR_GROUP_TOKENS, len(pairs)))):
+            pairs = np.concatenate([pairs, *(np.frombuffer(p, np.uint32) for p, _ in more)])
+            n = np.concatenate([n, *(np.frombuffer(m, np.int64) for _, m in more)])
+            order = np.argsort(pairs, kind="stable")
+            pairs, n = pairs[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+            pairs, n = pairs[first], np.add.reduceat(n, first)
+        whole = pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n)], names=["pair", "n"])
+        yield from (whole.slice(i, PAIR_ROWS) for i in range(0, len(pairs), PAIR_ROWS))
+
+    parts = encoded.select("ids").mapInArrow(counted, "group long, pairs binary, n binary")
+    return parts.groupBy("group").applyInArrow(added, "pair long, n long")
+
+
+def pair_group(pairs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each pair: evenly spread, whatever the pairs' words."""
+    return ((mix64(pairs) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def _up_to(rows: Iterator[tuple[bytes, bytes]], most: int) -> Iterator[tuple[bytes, bytes]]:
+    """The next rows, until they hold ``most`` entries."""
+    size = 0
+    while size < most and (row := next(rows, None)):
+        size += len(row[0]) // 4
+        yield row
 
 
 def read_pairs(pairs: DataFrame, lexicon: Lexicon, most: int = PAIRS) -> PairTable:
@@ -549,19 +593,19 @@ def _training_ids(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
 
 
 def _averaged(models: DataFrame) -> DataFrame:
-    """Sum of weighted models over at most ``AVERAGING_TASKS`` rows, each summed as a stream."""
+    """Sum of weighted models over at most ``AVERAGING_TASKS`` groups, each summed as a stream; few models share a few tasks."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0
         for batch in batches:
             for data, n in zip(batch.column("model"), batch.column("tokens").to_pylist()):
                 part = np.frombuffer(data.as_py(), np.float32).astype(np.float64) * n
                 total = part if total is None else total + part
                 weight += n
-        if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()]), pa.array([weight])], names=["model", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()]), pa.array([weight])], names=["group", "model", "tokens"])
 
-    return models.repartition(AVERAGING_TASKS, "task").mapInArrow(summed, "model binary, tokens long")
+    group = F.pmod(F.hash("task"), F.lit(AVERAGING_TASKS)).alias("group")
+    return models.select(group, "model", "tokens").groupBy("group").applyInArrow(summed, "group int, model binary, tokens long")
 
 
 def train(encoded: DataFrame, lexicon: Lexicon) -> bytes:
@@ -599,7 +643,7 @@ def train(encoded: DataFrame, lexicon: Lexicon) -> bytes:
 
         part = encoded.where(F.col("round") == number).select("ids")
         models = written(part.mapInArrow(learned, "task long, model binary, tokens long"), "language-models")
-        averages = _averaged(models).collect()
+        averages = sorted(_averaged(models).collect(), key=lambda r: r["group"])
         if averages:
             weights = np.array([r["tokens"] for r in averages], np.float64)
             stacked = np.stack([np.frombuffer(r["model"], np.float32) for r in averages])
@@ -667,16 +711,17 @@ def score_documents(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, pairs:
                 listed, times = np.unique(owner * max(1, len(names)) + outside, return_counts=True)
                 if len(listed):
                     m = len(listed)
-                    words = pa.array(names).take(pa.array(listed % len(names)))
+                    words = names.take(pa.array(listed % len(names)))
                     nothing = [pa.nulls(m, c.type) for c in part.columns[1:]]
                     columns = [pa.array(rows[listed // len(names)]), *nothing, *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], words, pa.array(times)]
                     whole = pa.RecordBatch.from_arrays(columns, names=out.names)
-                    yield from (whole.slice(i, 50_000) for i in range(0, m, 50_000))
+                    yield from (whole.slice(i, WORD_ROWS) for i in range(0, m, WORD_ROWS))
                 row += n
 
     chosen = docs.select(F.col(text).alias("__text"), *[F.col(c).alias(name) for c, (name, _) in zip(keep, kept)])
     both = written(chosen.mapInArrow(scored, out), "language-scores")
-    rare = both.where("word IS NOT NULL").select("row", "word", "times").join(counts.hint("merge"), "word", "left")
+    held = lexicon.distinct <= JOINED_WORDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = both.where("word IS NOT NULL").select("row", "word", "times").join(counts.hint("shuffle_hash" if held else "merge"), "word", "left")
     seen = F.coalesce("n", F.lit(0))
     sums = rare.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(seen + 0.5)).alias("logs"),
