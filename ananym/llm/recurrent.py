@@ -327,7 +327,7 @@ def _blocks(x: np.ndarray) -> np.ndarray:
 
 def _wide(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether logits ``h @ weights.T + bias`` may be too far from zero to be exponentiated as they are."""
-    return h.size > 0 and float(np.abs(h).max()) * float(np.abs(weights).sum(axis=1).max()) + float(np.abs(bias).max()) > 60
+    return h.size > 0 and float(max(h.max(), -h.min())) * float(np.abs(weights).sum(axis=1).max()) + float(np.abs(bias).max()) > 60
 
 
 class Network:
@@ -375,9 +375,9 @@ class Network:
         new = np.tanh(gates[:, 2 * n :] + r * own[:, 2 * n :])
         return new + z * (h - new), z, r, new, own[:, 2 * n :]
 
-    def advance(self, gates: np.ndarray, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``step`` into ``out``, from ``_blocks`` of the input's share: what it works on lies in one piece."""
-        own = (h @ self.p["state"]).reshape(-1, 3, HIDDEN).swapaxes(0, 1)
+    def advance(self, gates: np.ndarray, h: np.ndarray, out: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``step`` into ``out``, from ``_blocks`` of the input's share and of the state's weights: what it works on lies in one piece."""
+        own = h @ state
         zr = np.empty_like(gates[:2])
         np.add(gates[:2], own[:2], out=zr)
         np.negative(zr, out=zr)
@@ -462,11 +462,11 @@ class Network:
         steps, streams = ids.shape
         x = p["embed"][ids]
         gates = _blocks(x @ p["input"] + p["bias"])
-        kept, states = [], np.empty((steps, streams, n), np.float32)
+        kept, states, state = [], np.empty((steps, streams, n), np.float32), _blocks(p["state"])
         for t in range(steps):
             before = h * ~reset[t][:, None]
             h = states[t]
-            kept.append((before, *self.advance(gates[:, t], before, h)))
+            kept.append((before, *self.advance(gates[:, t], before, h, state)))
         _, d_out, grads = self.losses(states.reshape(-1, n), target.reshape(-1), True)
         d_out = d_out.reshape(steps, streams, n)
         d_gates = np.empty((steps, streams, 3 * n), gates.dtype)
@@ -504,7 +504,7 @@ class Network:
         longest = int(lengths.max(initial=0))
         #: How many texts have a token at each step.
         live = len(lengths) - np.cumsum(np.bincount(lengths, minlength=1))[:longest]
-        inputs = self.p["embed"] @ self.p["input"] + self.p["bias"]
+        inputs, state = _blocks(self.p["embed"] @ self.p["input"] + self.p["bias"]), _blocks(self.p["state"])
         out, end = np.zeros(len(ids)), ids[starts[1] - 1] if len(ids) else 0
         h = np.zeros((len(lengths), HIDDEN), inputs.dtype)
         total, first = np.cumsum(live), 0
@@ -516,10 +516,10 @@ class Network:
             before = ids[places - 1]
             if first == 0:
                 before[: widths[0]] = end
-            gates = _blocks(inputs.take(before, axis=0))
+            gates = inputs.take(before, axis=1)
             states = np.empty((len(places), HIDDEN), inputs.dtype)
             for a, b in itertools.pairwise(edges.tolist()):
-                self.advance(gates[:, a:b], h[: b - a], states[a:b])
+                self.advance(gates[:, a:b], h[: b - a], states[a:b], state)
                 h = states[a:b]
             out[places] = self.losses(states, ids[places], False)[0]
             first = stop

@@ -75,3 +75,16 @@ def test_words_of_several_batches_are_counted_together(spark):
 def test_words_that_are_no_utf8_are_replaced():
     raw = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 3, 7], np.int32)), pa.py_buffer(b"a\xff \xc3 bq")])
     assert recurrent.decoded(coded_words(raw)[1]).to_pylist() == ["a�", "�", "bq"]
+
+
+def test_state_steps_by_blocks_equal_steps():
+    """Rows of two gates and the new state lie in three pieces throughout; the states are those of ``step``."""
+    network, source = recurrent.Network(small_lexicon()), np.random.default_rng(4)
+    state = recurrent._blocks(network.p["state"])
+    for rows in (1, 7, 300):
+        gates, h = source.normal(size=(rows, 3 * recurrent.HIDDEN)).astype(np.float32), source.uniform(-1, 1, (rows, recurrent.HIDDEN)).astype(np.float32)
+        out = np.empty_like(h)
+        z, r, new, own = network.advance(recurrent._blocks(gates), h, out, state)
+        assert all(x.flags.c_contiguous for x in (z, r, new, own))
+        for got, want in zip((out, z, r, new, own), network.step(gates, h)):
+            np.testing.assert_allclose(got, want, rtol=1e-4, atol=1e-6)
