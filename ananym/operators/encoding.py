@@ -10,21 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ananym.config import REVERSED, SPECIAL_TOKENS, UNK, WORD_MARK
 from ananym.functions.text import may_change_under_nfkc
-from ananym.operators.columnar import LITERAL, SLICE_BYTES, Encoder, slices, split_words
-from ananym.operators.order import nth_in_order, up_to
+from ananym.operators.columnar import LITERAL, Encoder, slices, split_words
+from ananym.operators.pair_index import taken
 from ananym.operators.rows import require_orientation, reverse_rows
 from ananym.operators.vocabulary import MAX_VOCAB, Vocabulary
-from ananym.session import stored
-
-# Words of at most HEAD_CHARS characters, HEAD_WORDS of them, are joined by broadcast: below 128 MB whatever the corpus.
+from ananym.session import FAT_ROWS, small_batches, stored
+
+# Text that is encoded together by word, and what a row counts for beside its text.
+BLOCK_BYTES = 4 << 20
+ROW_BYTES = 64
+# Spark numbers rows by task and, in the lower bits, inside the task.
+TASK_SHIFT = 33
+GROUP_TASKS = 1024
+# Has no effect any more: frequent words are not broadcast but take the way of the others. A test still sets it.
 HEAD_WORDS = 400_000
-HEAD_CHARS = 32
 MAX_SPELLING_CHARS = 16 << 20
-# More ids than a word can have; a slice may not end past the largest int.
-MAX_WORD_IDS = 1 << 30
 
 BY_WORD = "by_word"
 BY_DOCUMENT = "by_document"
@@ -91,70 +95,116 @@ def word_tokens(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return words.withColumn("ids", ids_of("word"))
 
 
-def _factorised(text: Column, first_words: int | None, match_special: bool) -> Column:
-    """A text's distinct words, and for each of its words in order which of them it is."""
-
-    @F.arrow_udf("words array<string>, places array<int>")
-    def factorise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            for part in slices(pc.fill_null(batch.cast(pa.string()), ""), SLICE_BYTES):
-                yield factorised(part)
-
-    def factorised(texts: pa.Array) -> pa.Array:
-        found: list[dict] = []
-        for segments in (LITERAL.split(t) if match_special else [t] for t in texts.to_pylist()):
-            own = pa.array(segments[::2], pa.string())
-            words, counts = split_words(own, first_words)
-            marked = pc.binary_join_element_wise(WORD_MARK, words, "") if len(words) else words
-            if len(segments) > 1:
-                spaced = np.insert(np.arange(len(marked)), np.cumsum(counts)[:-1], len(marked) + np.arange(len(segments) // 2))
-                marked = pa.concat_arrays([marked, pa.array(segments[1::2], pa.string())]).take(pa.array(spaced))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Kept columns and texts of consecutive rows, about ``BLOCK_BYTES`` together; a longer text stands alone."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+    size = 0
+    together = lambda: tuple(pa.concat_arrays(column) for column in zip(*held))
+    for batch in batches:
+        start = 0
+        for part in slices(pc.fill_null(batch.column("text").cast(pa.string()), ""), BLOCK_BYTES):
+            # Short texts count for what is kept of them, too.
+            own = pc.sum(pc.binary_length(part)).as_py() + ROW_BYTES * len(part)
+            if held and size + own > BLOCK_BYTES:
+                yield together()
+                held, size = [], 0
+            held.append((batch.column("kept").slice(start, len(part)), part))
+            start, size = start + len(part), size + own
+    if held:
+        yield together()
+
+
+def _placed_words(texts: pa.Array, first_words: int | None, match_special: bool) -> tuple[pa.Array, np.ndarray]:
+    """Marked words and literal special tokens of all texts one after another, and how many each text has."""
+    rows = [LITERAL.split(t) for t in texts.to_pylist()] if match_special else []
+    own = pa.array([segment for row in rows for segment in row[::2]], pa.string()) if match_special else texts
+    words, counts = split_words(own, first_words)
+    marked = pc.binary_join_element_wise(WORD_MARK, words, "") if len(words) else words
+    if not match_special:
+        return marked, counts
+    tokens = [token for row in rows for token in row[1::2]]
+    after, inside = np.cumsum(counts), np.array([len(row) // 2 for row in rows])
+    last = np.cumsum(inside + 1) - 1
+    before = after[np.setdiff1d(np.arange(len(counts)), last)]
+    spaced = np.insert(np.arange(len(marked)), before, len(marked) + np.arange(len(tokens)))
+    marked = pa.concat_arrays([marked, pa.array(tokens, pa.string())]).take(pa.array(spaced))
+    return marked, np.diff(after[last] + np.cumsum(inside), prepend=0)
+
+
+def _blocks(df: DataFrame, keep: list[str], first_words: int | None, match_special: bool) -> DataFrame:
+    """Neighbouring documents as one row: their distinct words, and for each word of each in order which of these it is."""
+    kept = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in keep)
+    own = f"own struct<kept: array<struct<{kept}>>, counts: binary, places: binary>"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for documents, texts in _gathered(batches):
+            marked, counts = _placed_words(texts, first_words, match_special)
             coded = marked.dictionary_encode()
-            found.append({"words": coded.dictionary, "places": coded.indices})
-        column = lambda name, kind: _lists([row[name] for row in found], kind)
-        return pa.StructArray.from_arrays([column("words", pa.string()), column("places", pa.int32())], ["words", "places"])
+            columns = {"kept": _one_list(documents), "counts": _bytes(counts), "places": _bytes(np.asarray(coded.indices))}
+            yield pa.RecordBatch.from_pydict({"words": _one_list(coded.dictionary), "own": pa.StructArray.from_arrays(list(columns.values()), list(columns))})
+
+    packs = df.select(F.struct(*keep).alias("kept"), "text").mapInArrow(packed, f"words array<string>, {own}")
+    return stored(packs.select(F.monotonically_increasing_id().alias("block"), "words", "own"), "blocks", FAT_ROWS)
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _bytes(numbers: np.ndarray) -> pa.Array:
+    """Numbers below 2**31 as one value; their first bytes stand together, then their second ones, which compresses well."""
+    return pa.array([numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
+
+
+def _numbers(value: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
 
-    return factorise(text)
+def _laid_out(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Documents with their ids, from the row of each block and after it the ids of the block's words in their order."""
 
+    def whole(own: dict[str, pa.Scalar], parts: list[pa.Array]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(part.cast(pa.list_(pa.int32())) for part in parts)])
+        lengths = np.asarray(pc.list_value_length(ids), dtype=np.int64)
+        counts, codes = _numbers(own["counts"]), _numbers(own["places"])
+        places, ends = taken((np.cumsum(lengths) - lengths)[codes], lengths[codes])
+        bounds = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids.flatten().take(pa.array(places)))
+        return pa.RecordBatch.from_arrays([*own["kept"].values.flatten(), listed], [*keep, "input_ids"])
 
-def _lists(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], kind), *(p.cast(kind) for p in parts)]))
+    own, parts = None, []
+    for batch in batches:
+        start = 0
+        for row in np.flatnonzero(np.asarray(batch.column("nth")) < 0).tolist():
+            if own is not None:
+                yield whole(own, [*parts, batch.column("ids").slice(start, row - start)])
+            own, parts, start = batch.column("own")[row], [], row + 1
+        parts.append(batch.column("ids").slice(start))
+    if own is not None:
+        yield whole(own, parts)
 
 
 def _encode_by_word(df, vocabulary, keep, first_words, match_special) -> DataFrame:
-    """Encode each distinct word of the corpus once, and give each document the ids of its own distinct words.
+    """Encode each distinct word of the corpus once, and give each block of documents the ids of its own distinct words.
 
-    Documents are read once and stored as their distinct words and where these stand; only (document, distinct word) rows
-    are joined. Frequent words, which are in most documents, are a bounded table and joined by broadcast;
-    rare and long words are shuffled to their ids, both sides as they are, so that Spark can split a long
-    word that is frequent. ``by_document`` needs no shuffle and is the better choice unless words are very costly to encode.
+    Documents are read once and stored in blocks, as their distinct words and where these stand; only (block, distinct word)
+    rows are shuffled: to their word, which gets its ids, and back to their block, in the order of its words. Nothing is
+    broadcast, and no task holds more than one block beside what Spark sorts and may spill. ``by_document`` needs no
+    shuffle and is the better choice unless words are very costly to encode.
     """
-    own = _factorised(F.col("text"), first_words, match_special).alias("own")
-    split = stored(df.select(*keep, own).select(*keep, "own.words", "own.places"), "split-documents")
-    placed = split.select(*keep, F.posexplode_outer("words").alias("nth", "word"), "places")
-    # Only a document's first row carries the places.
-    placed = placed.withColumn("places", F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("places")))
-    counted = placed.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
-    known = stored(word_tokens(counted, vocabulary), "word-tokens")
-    short = known.where(F.length("word") <= HEAD_CHARS)
-    rarity = [(-F.col("n")).alias("rarity"), F.col("word")]
-    last = nth_in_order(short, rarity, HEAD_WORDS)
-    head = short if last is None else short.where(up_to(rarity, last))
-    head = stored(head.select("word", "ids"), "frequent-words")
-    joined = placed.join(F.broadcast(head), "word", "left")
-    settled = joined.where(F.col("ids").isNotNull() | F.col("word").isNull())
-    rest = known.select("word", "ids").join(F.broadcast(head.select("word")), "word", "left_anti")
-    if not rest.isEmpty():
-        rare = joined.where(F.col("ids").isNull() & F.col("word").isNotNull()).drop("ids")
-        settled = settled.unionByName(rare.join(rest, "word"))
-    # A word's place among the document's and its ids are one array: a struct of both takes half as much again in the shuffle.
-    in_order = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.concat(F.array("nth"), "ids"))))
-    whole = settled.groupBy(*keep).agg(in_order.alias("own"), F.first("places", ignorenulls=True).alias("places"))
-    # The sorted array is a lambda's variable, so that it is not sorted again for each place.
-    sorted_ids = F.array(F.transform("own", lambda one: F.slice(one, 2, MAX_WORD_IDS)))
-    laid_out = F.transform(sorted_ids, lambda own: F.flatten(F.transform("places", lambda p: F.get(own, p))))
-    return whole.select(*keep, F.coalesce(F.element_at(laid_out, 1), F.array().cast("array<int>")).alias("input_ids"))
+    small_batches(df.sparkSession)
+    blocks = _blocks(df, keep, first_words, match_special)
+    placed = blocks.select("block", F.posexplode("words").alias("nth", "word"))
+    # The upper bits of a block's number tell the task that wrote it. A word that is in all blocks has a group for each GROUP_TASKS tasks.
+    tasks = F.shiftright("block", TASK_SHIFT + GROUP_TASKS.bit_length() - 1)
+    grouped = placed.groupBy("word", tasks.alias("tasks")).agg(F.collect_list(F.struct("block", "nth")).alias("places"))
+    found = word_tokens(grouped.select("word", "places"), vocabulary).select(F.inline("places"), "ids")
+    rows = found.withColumn("own", F.lit(None).cast(blocks.schema["own"].dataType)).unionByName(
+        blocks.select("block", F.lit(-1).alias("nth"), F.lit(None).cast("array<int>").alias("ids"), "own")
+    )
+    schema = StructType([*(df.schema[c] for c in keep), StructField("input_ids", ArrayType(IntegerType()))])
+    in_order = rows.repartition("block").sortWithinPartitions("block", "nth").select("nth", "ids", "own")
+    return in_order.mapInArrow(lambda batches: _laid_out(batches, keep), schema)
 
 
 def _encode_by_document(df, vocabulary, keep, first_words, match_special) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananym.session import scratch_path
+from ananym.session import FAT_ROWS, scratch_path
 
 # Token id i is written as this code point + i while training; ids stay below 2**20.
 SYMBOL_BASE = 0x10000
@@ -311,7 +311,7 @@ class PairIndex:
 
     def _written(self, table: DataFrame, name: str, schema: str) -> DataFrame:
         target = f"{self.path}/{name}-{self.rounds % 2}"
-        table.write.mode("overwrite").parquet(target)
+        table.write.mode("overwrite").options(**FAT_ROWS).parquet(target)
         return self.spark.read.schema(schema).parquet(target)
 
     def _changes(self) -> DataFrame:

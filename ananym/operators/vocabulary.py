@@ -7,16 +7,18 @@ string replacement and a pair is two neighbouring characters.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ananym.config import BOS, EOS, PAD, UNK, VocabConfig
 from ananym.operators.pair_index import ID_BITS, SYMBOL_BASE, PairIndex, symbol
 from ananym.operators.words import character_counts, only, top_alphabet
-from ananym.session import spread, stored
+from ananym.session import small_batches, spread, stored
 
 MAX_VOCAB = 1 << ID_BITS
 END_OF_SYMBOLS = chr(0x10FFFF)
@@ -207,6 +209,7 @@ def train_vocabulary(words: DataFrame, config: VocabConfig = VocabConfig()) -> V
     if config.vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size must not exceed {MAX_VOCAB}")
     spark = words.sparkSession
+    small_batches(spark)
     words = stored(words, "training-words")
     alphabet = sorted(r["ch"] for r in top_alphabet(character_counts(words), config.limit_alphabet).collect())
     tokens = Tokens(alphabet)
@@ -229,16 +232,22 @@ def train_vocabulary(words: DataFrame, config: VocabConfig = VocabConfig()) -> V
         if len(tokens) < config.vocab_size:
             index.merge(merges)
     spelled = tokens.spellings
-    merge_rows = [(rank, spelled[a], spelled[b]) for rank, (a, b) in enumerate(tokens.merges)]
+    lefts, rights = ([spelled[pair[side]] for pair in tokens.merges] for side in (0, 1))
     return Vocabulary(
-        with_special_tokens(spark.createDataFrame(list(enumerate(spelled)), "id int, token string")),
-        spark.createDataFrame(merge_rows, MERGES_SCHEMA),
+        with_special_tokens(_table(spark, id=range(len(spelled)), token=spelled)),
+        _table(spark, rank=range(len(lefts)), left=lefts, right=rights),
     )
 
 
+def _table(spark: SparkSession, **columns: Iterable) -> DataFrame:
+    """Numbers, then texts, as a table. It is handed over as Arrow data; rows would go through Python workers of their own on the executors."""
+    first, *_ = columns
+    return spark.createDataFrame(pa.table({c: pa.array(list(values), pa.int32() if c == first else pa.string()) for c, values in columns.items()}))
+
+
 def with_special_tokens(base: DataFrame) -> DataFrame:
     """Append ``<s>``, ``</s>`` and ``<pad>`` after the base vocabulary; ``<unk>`` keeps its id."""
-    added = base.sparkSession.createDataFrame([(i, t) for i, t in enumerate((BOS, EOS, PAD))], "nth int, token string")
+    added = _table(base.sparkSession, nth=range(3), token=(BOS, EOS, PAD))
     size = base.agg((F.max("id") + 1).alias("size")).scalar()
     tail = added.select((size + F.col("nth")).cast("int").alias("id"), "token", F.lit(True).alias("is_special"))
     return base.select("id", "token", (F.col("token") == UNK).alias("is_special")).unionByName(tail)
